@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from capsort.llm import decontam, langid, mixing, sharding, simhash, token_counts, topk
+from capsort.llm import decontam, langid, licenses, mixing, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 from capsort.llm.common import read
 
 
@@ -23,6 +23,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_token_counts, op2_mix_sources, op3_simhash, op7_sharding, op8_language_id, op9_decontamination, op10_exact_top_k]
+    own = [op1_token_counts, op2_mix_sources, op3_simhash, op4_suffix_dedup, op5_license_scan, op6_toxicity, op7_sharding, op8_language_id, op9_decontamination, op10_exact_top_k]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
