@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsort.llm.common import cut, drop_tables
@@ -91,12 +91,22 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return probes.join(keyed, (F.col("key") == F.col("key_b")) & fits).select("a", "b")
 
 
+def thinned(pairs: DataFrame) -> DataFrame:
+    """Fewer pairs a < b with the same components: each b's smaller neighbours are tied to the least of them.
+
+    A clique becomes a star, so what later rounds read grows with the nodes of a dense group, not its pairs.
+    """
+    tied = pairs.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return tied.select(F.col("least").alias("a"), F.col("a").alias("b")).filter("a < b").unionAll(tied.select("least", "b")).distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of the undirected ``pairs`` (a, b).
 
     Each round takes the least label of the neighbours and then jumps to that label's label, so chains
     shorten by about half a round. Ends when no label changes.
     """
+    pairs = cut(thinned(cut(thinned(cut(pairs)))))
     edges = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select("b", "a")))
     labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root")))
     while True:
