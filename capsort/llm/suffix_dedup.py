@@ -334,7 +334,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     each = scanned.select("key", F.explode(F.arrays_zip("cores", "places")).alias("a")).select("key", F.col("a.cores").alias("core"), F.col("a.places").alias("place"))
     # An occurrence is a place of a text; copies of a text have the same ones.
     occurrence = F.xxhash64("key", "place")
-    often = each.groupBy("core").agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high")).filter("low <> high").select("core")
+    # A table of its own: the join below then reads two plain exchanges, and one very common core can be split.
+    often = cut(each.groupBy("core").agg(F.min(occurrence).alias("low"), F.max(occurrence).alias("high")).filter("low <> high").select("core"))
     marks = cut(each.join(often, "core", "left_semi").groupBy("key").agg(F.collect_set(F.struct("place", "core")).alias("marks")))
     total = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     parts = int(total // PER_MERGE) + 1
@@ -344,7 +345,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = docs.filter(F.octet_length(text) >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("key"))
     texts = own.join(marked, own.doc_id.eqNullSafe(marked["head"]) & (own.key == marked.key_)).select("key", "text", "marks")
     runs = cut(texts.mapInArrow(_runs(parts), "part int, run binary, key binary, packed binary"))
-    drop_tables(docs.sparkSession, [marks])
+    drop_tables(docs.sparkSession, [marks, often])
     found = runs.filter("part IS NOT NULL").select("part", "run").groupBy("part").applyInPandas(_merge_part, "key binary, spans array<int>")
     return scanned, runs.filter("key IS NOT NULL").select("key", "packed"), found
 
