@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def box_downsample(gray: np.ndarray, to_w: int, to_h: int) -> np.ndarray:
@@ -44,7 +45,7 @@ def difference_hash(gray: np.ndarray) -> int:
     return int(np.packbits(small[:, :-1] > small[:, 1:]).view(">i8")[0])
 
 
-def _over(f: Callable[[np.ndarray], object], returns: str) -> Callable[[Column, Column, Column], Column]:
+def _over(f: Callable[[np.ndarray], object], returns: T.DataType) -> Callable[[Column, Column, Column], Column]:
     def run(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
         def one(data, w, h):
             if data is None or not w or not h or len(data) < w * h:
@@ -56,11 +57,12 @@ def _over(f: Callable[[np.ndarray], object], returns: str) -> Callable[[Column,
     return F.pandas_udf(run, returns)
 
 
-sharpness = _over(laplacian_variance, "double")
-visual_hash = _over(difference_hash, "long")
+sharpness = _over(laplacian_variance, T.DoubleType())
+visual_hash = _over(difference_hash, T.LongType())
 
 
-@F.pandas_udf("mean double, highlights double, shadows double")
+# Types as objects: importing this module needs no session.
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("mean", "highlights", "shadows")]))
 def profile(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     rows = [luminance(np.frombuffer(d, np.uint8, w * h)) if d is not None else (None,) * 3 for d, w, h in zip(gray, width, height, strict=True)]
     return pd.DataFrame(rows, columns=["mean", "highlights", "shadows"])
