@@ -80,7 +80,7 @@ def keys(h: np.ndarray) -> np.ndarray:
     """Of each position: 16 bits of each of the next DEPTH words, most significant first."""
     short = h >> np.uint64(48)
     out = np.zeros(len(h), np.uint64)
-    for d in range(DEPTH):
+    for d in range(min(DEPTH, len(h))):
         out[: len(h) - d] |= short[d:] << np.uint64(48 - 16 * d)
     return out
 
