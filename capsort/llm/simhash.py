@@ -53,14 +53,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long), one row a document, one narrow scan."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint's bits as a signed long), one row a document, one narrow scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _segment(fp: Column, start: int, width: int) -> Column:
@@ -123,23 +124,30 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """Per distinct fingerprint: fp_, head (its least row: null ids last, then id and text hash) and root, the component."""
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
+    roots = components(links(nodes.select("fp"), bits))
+    return cut(nodes.join(roots, nodes.fp == roots.node, "left").select(F.col("fp").alias("fp_"), "head", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """Per document: doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = cut(fingerprints(docs, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), bits))
-    classes = nodes.join(roots, nodes.fp == roots.node, "left").select(F.col("fp").alias("fp_"), "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(classes)
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = _classes(prints, bits)
+    ids = named.groupBy("root").agg(F.min("head")["doc_id"].alias("component_id"))
     by_print = named.join(ids, "root").select("fp_", "component_id")
     return prints.join(by_print, prints.fp == by_print.fp_).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id names the component.
+def keep_representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id, null ids last, ties by the text's hash.
 
-    Rows that repeat an id within one component count as one; any single one of them stays.
+    The row is told by id and text, so rows of one id (or of none) in different groups are all kept; rows that repeat
+    both count as one.
     """
-    heads = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__capsort_id"), "component_id", "fp").groupBy("component_id").agg(F.min("__capsort_id").alias("__capsort_id"))
-    kept = heads.select("__capsort_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__capsort_id"]), "left_semi").dropDuplicates(["doc_id"])
+    named = _classes(cut(fingerprints(docs, words)), bits)
+    heads = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("__capsort_id"), F.col("head.mark").alias("__capsort_mark"))
+    marked = docs.withColumn("__capsort_text", F.xxhash64("text"))
+    same = marked["doc_id"].cast("long").eqNullSafe(heads["__capsort_id"]) & (marked["__capsort_text"] == heads["__capsort_mark"])
+    return marked.join(heads, same, "left_semi").dropDuplicates(["doc_id", "__capsort_text"]).drop("__capsort_text")
