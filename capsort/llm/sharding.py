@@ -10,7 +10,8 @@ the corpus), the driver walks the ring over the counts, and gives each node a li
 Documents are then ranked within their node by hash. Rows that repeat id, size and text are counted
 first and expanded after, so a document repeated for a third of all rows is one row until then.
 
-Defined cases: null texts have 16 bytes and the crc32 of the empty text; null ids hash like the text ``null``.
+Defined cases: null texts have 16 bytes and the crc32 of the empty text; null ids are placed by
+size and crc32.
 Equal rows are interchangeable: they get slots of their own. Empty tables give no rows. Extra columns are not read.
 """
 
@@ -24,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsort.llm.common import cut
+
 SHARDS = 40
 VNODES = 256
 OVERHEAD = 16
@@ -79,13 +82,14 @@ def _node(docs: DataFrame, shards: int):
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     spark, node = docs.sparkSession, _node(docs, shards)
-    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
+    rows = cut(read.withColumn("place", place))  # texts are read once
     counts = np.zeros(shards * VNODES, np.int64)
-    for r in docs.select(node(place).alias("node")).groupBy("node").count().collect():  # one row a node
+    for r in rows.select(node(F.col("place")).alias("node")).groupBy("node").count().collect():  # one row a node
         counts[r[0]] = r[1]
     stretches = spark.createDataFrame(walk(counts, ring(shards)[1], shards) or [(-1, 0, 0, 0, 0)], "node_ int, low long, high long, shard int, base long")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), place.alias("place"))
     distinct = rows.groupBy("doc_id", "size", "text_crc32", "place").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("node").orderBy("place", "doc_id", "text_crc32", "size")
     ranked = distinct.withColumn("node", node(F.col("place"))).withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
