@@ -45,8 +45,11 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[sum(a * b for a, b in zip(r, s, strict=True)) for s in as_ints(x)] for r in as_ints(q)], object)
 
 
-def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, pivots: np.ndarray) -> tuple[list, int]:
-    """Per query its k best candidates as (query, id, score), and how many products were evaluated."""
+def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, pivots: np.ndarray, known: list | None = None) -> tuple[list, int]:
+    """Per query its k best as (score, id), best first, and how many products were evaluated.
+
+    ``known`` holds each query's best so far: what its last one already rules out is not evaluated.
+    """
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     gap = lambda a: np.sqrt(np.maximum((a * a).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * a @ pivots.T, 0))
@@ -54,24 +57,24 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     norm_x, norm_q = (x * x).sum(1), (q * q).sum(1)
     out, evaluated = [], 0
     for i in range(len(q)):
+        best = list(known[i]) if known else []
         lower = np.abs(table - own[i]).max(1) if len(pivots) else np.zeros(len(x))
         slack = 1e-6 * (1.0 + lower)
         bound = (norm_q[i] + norm_x - np.maximum(lower - slack, 0) ** 2) / 2
         bound += 1.0 + 1e-9 * np.abs(bound)
         bound = np.minimum(bound, np.sqrt(norm_q[i] * norm_x) * (1 + 1e-9) + 1.0)
-        ranked = np.argsort(-bound, kind="stable")
-        scores, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        open_ = np.flatnonzero(bound >= best[k - 1][0]) if len(best) >= k else np.arange(len(x))
+        ranked = open_[np.argsort(-bound[open_], kind="stable")]
         for at in range(0, len(ranked), STEP):
             part = ranked[at : at + STEP]
-            if len(scores) >= k and bound[part[0]] < scores[k - 1]:
+            if len(best) >= k and bound[part[0]] < best[k - 1][0]:
                 break
             part = part[ids[part] != query_ids[i]]
             evaluated += len(part)
-            scores = np.concatenate((scores, exact(q[i : i + 1], x[part])[0]))
-            kept = np.concatenate((kept, ids[part]))
-            top = np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], kept[j]))[:k], np.int64) if scores.dtype == object else np.lexsort((kept, -scores))[:k]
-            scores, kept = scores[top], kept[top]
-        out += [(int(query_ids[i]), int(v), int(s)) for v, s in zip(kept, scores, strict=True)]
+            scores = exact(q[i : i + 1], x[part])[0]
+            top = np.lexsort((ids[part], -scores))[:k] if scores.dtype != object else range(len(scores))
+            best = sorted(best + [(int(scores[j]), int(ids[part[j]])) for j in top], key=lambda t: (-t[0], t[1]))[:k]
+        out.append(best)
     return out, evaluated
 
 
@@ -108,18 +111,11 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                     if not len(rows):
                         continue
                     x = np.floor(vs.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), d) * SCALE)
-                    found, _ = best_of(np.array(q_ids, np.int64), q, ids[rows], x, k, p)
-                    # a repeated query id is a query each; found lists queries in order
-                    at = 0
-                    for j, qi in zip(place[d], q_ids, strict=True):
-                        n = min(k, int((ids[rows] != qi).sum()))
-                        mine = best.setdefault((j, qi), [])
-                        mine += found[at : at + n]
-                        mine.sort(key=lambda t: (-t[2], t[1]))
-                        del mine[k:]
-                        at += n
+                    keys = [(j, i) for j, i in zip(place[d], q_ids, strict=True)]
+                    found, _ = best_of(np.array(q_ids, np.int64), q, ids[rows], x, k, p, [best.get(key, []) for key in keys])
+                    best.update(zip(keys, found, strict=True))
             # a query row that repeats another gives the same list; one of them is enough
-            rows = sorted({t + (r,) for (_, _), mine in best.items() for r, t in enumerate(mine)})
+            rows = sorted({(qi, v, score, r) for (_, qi), mine in best.items() for r, (score, v) in enumerate(mine)})
             yield pa.RecordBatch.from_arrays([pa.array([t[c] for t in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
         part = vectors.mapInArrow(run, SCHEMA)

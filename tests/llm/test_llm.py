@@ -108,6 +108,13 @@ def test_simhash(spark, docs, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, words(0), 1), (None, words(1), 2), (None, words(1), 3), (4, words(2), 4), (4, words(3), 5), (6, words(0), 6), (7, None, 7), (8, "", 8), (4, words(2), 4)]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(6, words(0)), (None, words(1)), (4, words(2)), (4, words(3)), (7, None)]))
+
+
 def test_links_find_all_close_pairs(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -191,6 +198,8 @@ def test_sharding(spark, docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in per.values()) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     hot = spark.createDataFrame([(1, "same")] * 50 + [(k, "t") for k in range(2, 12)], "doc_id long, text string")
+    nulls = sharding.shard(spark.createDataFrame([(None, f"t{k}") for k in range(700)], "doc_id long, text string"), 7)
+    assert {r["count"] for r in nulls.groupBy("shard").count().collect()} == {100}
     counts = [r["count"] for r in sharding.shard(hot, 7).groupBy("shard").count().collect()]
     assert sum(counts) == 60 and max(counts) - min(counts) <= 1 and sharding.shard(hot.limit(0), 7).count() == 0
 
@@ -268,7 +277,13 @@ def test_top_k(spark):
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
     few, evaluated = topk.best_of(np.array([0]), np.array([[1000.0, 0]]), np.arange(5000), np.vstack([[[1000.0, k] for k in range(10)], rng.normal(0, 1, (4990, 2)).round()]), 5, np.array([[1000.0, 0.0], [0.0, 0.0]]))
-    assert len(few) == 5 and evaluated < 1000
+    assert len(few[0]) == 5 and evaluated < 1000
+    x = rng.normal(0, 300, (4000, 6)).round()
+    whole, _ = topk.best_of(np.arange(3), x[:3], np.arange(4000), x, 5, x[:8])
+    first, _ = topk.best_of(np.arange(3), x[:3], np.arange(2000), x[:2000], 5, x[:8])
+    parts, _ = topk.best_of(np.arange(3), x[:3], np.arange(2000, 4000), x[2000:], 5, x[:8], first)
+    brute = [sorted(((int(x[i] @ x[j]), j) for j in range(4000) if j != i), key=lambda t: (-t[0], t[1]))[:5] for i in range(3)]
+    assert whole == parts == brute
 
 
 def test_pipeline(spark, tmp_path, rows):
