@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from capsort.config import GroupingSettings, QualitySettings, SortRequest
 from capsort.functions import columns as C
+from capsort.functions import texts
 from capsort.operators import graph, pairs, quality, raster, simulate, stats
 from capsort.plans import sorting
 from capsort.sources import feed, images, photos, pointcloud
@@ -421,6 +422,51 @@ def anchor_thinning(spark, sf_dir):
     return simulate.thinned(_site(spark, sf_dir).filter("valid").select("component", "position"), 4, 50)
 
 
+@query()
+def cold_start_sweep(spark, sf_dir):
+    cases = [(f"n={n}", lambda rng, n=n: simulate.cold_start(simulate.Model((n // 2, n - n // 2), 500), rng)) for n in (500, 600, 750)]
+    trials = simulate.sweep(spark, cases, 40, "ok boolean, posed long")
+    return simulate.trial_means(trials, "name").orderBy("name")
+
+
+@query()
+def policy_means(spark, sf_dir):
+    cases = [(f"decay={d}", lambda rng, d=d: simulate.policy(simulate.Model((350, 100, 50), 400), rng, decay=d)) for d in (1.0, 0.5)]
+    trials = simulate.sweep(spark, cases, 10, "runs long, fed long, failures long, models long, posed long, coverage double, residue long, exhausted boolean, stuck boolean")
+    return trials.filter("NOT stuck").groupBy("name").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("runs", "fed", "models", "coverage", "residue")])
+
+
+@query()
+def proposal_coverage(spark, sf_dir):
+    cases = [(f"noise={e}", lambda rng, e=e: simulate.proposal(simulate.Model((1000, 500), 300), rng, e)) for e in (0.0, 0.2, 0.5, 1.0)]
+    return simulate.sweep(spark, cases, 10, "coverage double, good_runs double").groupBy("name").agg(F.avg("coverage").alias("coverage"), F.avg("good_runs").alias("good_runs"))
+
+
+_NAMES = lambda names, of: "CASE " + of + " " + " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in names.items()) + " END"
+
+
+@query(f"""WITH e AS (SELECT event_id, value * 60 AS s, value / 100 AS f, ['{"','".join(texts.STAGES)}', NULL][event_id % 7 + 1] AS stage, ['info', 'warning', 'error'][event_id % 3 + 1] AS severity, CAST(event_id % 20 AS INTEGER) AS signal FROM events),
+t AS (SELECT *, CAST(FLOOR(s / 60 + 0.5) AS BIGINT) AS m FROM e),
+r AS (SELECT *, CASE WHEN s < 60 THEN '残り 1 分未満' WHEN m < 60 THEN '残り約 ' || m || ' 分' ELSE '残り約 ' || m // 60 || ' 時間' || CASE WHEN m % 60 > 0 THEN ' ' || m % 60 || ' 分' ELSE '' END END AS remaining FROM t)
+SELECT event_id, NULLIF(CONCAT_WS(' — ', {_NAMES(texts.STAGES, 'stage')}, remaining), '') AS progress, '（進捗 ' || CAST(ROUND_EVEN(f * 100, 0) AS BIGINT) || '% 付近）' AS phrase,
+'シグナル ' || signal || COALESCE(': ' || {_NAMES(texts.SIGNALS, 'signal')}, '') AS died, {_NAMES(texts.SEVERITIES, 'severity')} || 'x' AS line FROM r""")
+def shown_texts(spark, sf_dir):
+    k = F.col("event_id")
+    stage = F.try_element_at(F.array(*map(F.lit, texts.STAGES)), (k % 7 + 1).cast("int"))
+    severity = F.element_at(F.array(*map(F.lit, texts.SEVERITIES)), (k % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select(k, texts.progress_text(stage, F.col("value") * 60).alias("progress"), texts.progress_phrase(F.col("value") / 100).alias("phrase"), texts.signal_name((k % 20).cast("int")).alias("died"), texts.severity_text(severity, F.lit("x")).alias("line"))
+
+
+@query(f"""SELECT vec_id, label, {_NAMES(texts.EVIDENCE, "(['" + "','".join(texts.EVIDENCE) + "'])[vec_id % 8 + 1]")} AS evidence,
+{_NAMES(texts.REASONS, "(['" + "','".join(texts.REASONS) + "'])[vec_id % 7 + 1]")} AS reason, CASE WHEN label = 0 THEN 'main（安定版）' ELSE 'b' || label || '（開発版）' END AS branch,
+EPOCH(TIMESTAMP '2024-01-01 00:00:00') + vec_id % 60 AS fix FROM embeddings""")
+def shown_names(spark, sf_dir):
+    k, at = F.col("vec_id"), lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("vec_id") % n + 1).cast("int"))
+    branch = F.when(F.col("label") == 0, "main").otherwise(F.concat(F.lit("b"), F.col("label").cast("string")))
+    clock = F.concat(F.lit("00:00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(".75"))
+    return read(spark, sf_dir, "embeddings").select(k, "label", texts.named(at(texts.EVIDENCE, 8), texts.EVIDENCE).alias("evidence"), texts.named(at(texts.REASONS, 7), texts.REASONS).alias("reason"), texts.branch_name(branch).alias("branch"), texts.fix_time(F.lit("2024:01:01"), clock).alias("fix"))
+
+
 @query("SELECT COUNT(*) FILTER (url ILIKE '%.jpg' OR url ILIKE '%.png') AS images, COUNT(*) FILTER (url ILIKE '%.icloud') AS placeholders, FALSE AS cloud FROM pages")
 def folder_summary(spark, sf_dir):
     return images.folder_summary(read(spark, sf_dir, "pages").select(F.regexp_replace("url", r"\.(jpeg|heic|heif|tiff|tif|bmp|dng)$", ".x").alias("path")))

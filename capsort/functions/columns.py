@@ -130,7 +130,7 @@ def percent_text(share: Column) -> Column:
 def size_text(n: Column) -> Column:
     """Decimal units with one digit."""
     steps = [(1e9, "GB"), (1e6, "MB"), (1e3, "KB")]
-    return reduce(lambda out, s: F.when(n >= s[0], F.concat(F.format_string("%.1f", n / s[0]), F.lit(f" {s[1]}"))).otherwise(out), reversed(steps), F.concat(n.cast("string"), F.lit(" B")))
+    return reduce(lambda out, s: F.when(n >= s[0], F.concat(F.format_string("%.1f", n / s[0]), F.lit(f" {s[1]}"))).otherwise(out), reversed(steps), F.concat(n.cast("string"), F.lit(" バイト")))
 
 
 def critical_density(n: Column, k: Column, q: float) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,3 +84,124 @@ def density_table(spark: SparkSession, sizes: list[int], ks: list[int], q: float
 def trial_means(trials: DataFrame, *keys: str) -> DataFrame:
     """Success rate, and mean posed count of the successes."""
     return trials.groupBy(*keys).agg(F.avg(F.col("ok").cast("double")).alias("rate"), F.avg(F.when(F.col("ok"), F.col("posed"))).alias("mean_posed"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """What a reconstruction does with a batch: gaps up to ``k`` hold, the largest fragment needs ``least`` photos and the rule."""
+
+    sizes: tuple[int, ...]
+    batch: int
+    p: float = 0.95
+    k: int = 4
+    q: float = 0.5
+    least: int = 20
+    mode: str = "absolute"
+
+
+class Site:
+    """One random site. Photos are numbers in (component, position) order; places of two components are never within k."""
+
+    def __init__(self, model: Model, rng: np.random.Generator) -> None:
+        stride = max(model.sizes) + model.k + 1
+        self.model, self.rng = model, rng
+        self.place = np.concatenate([np.arange(n) + c * stride for c, n in enumerate(model.sizes)])
+        self.valid = rng.random(len(self.place)) < model.p
+        self.runs = self.fed = self.failures = 0
+
+    def draw(self, among: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndarray:
+        """``n`` of the photos, without replacement; by exponential race where weights are given."""
+        n = min(n, len(among))
+        if weight is None:
+            return self.rng.choice(among, n, replace=False)
+        return among[np.argsort(self.rng.exponential(size=len(among)) / np.maximum(weight[among], 1e-9), kind="stable")[:n]]
+
+    def reconstruct(self, chosen: np.ndarray) -> np.ndarray:
+        """The photos that get a pose; none if the rule fails."""
+        self.runs, self.fed = self.runs + 1, self.fed + len(chosen)
+        own = np.sort(chosen[self.valid[chosen]])
+        parts = sorted(np.split(own, np.flatnonzero(np.diff(self.place[own]) > self.model.k) + 1), key=len, reverse=True)
+        first, second = len(parts[0]), len(parts[1]) if len(parts) > 1 else 0
+        holds = {"count": True, "absolute": first >= self.model.q * len(chosen), "relative": first >= 2 * second}[self.model.mode]
+        if first and first >= self.model.least and holds:
+            return parts[0]
+        self.failures += 1
+        return np.zeros(0, np.int64)
+
+    def anchor(self, posed: np.ndarray, batch: int) -> np.ndarray:
+        """Posed photos thinned as far as they stay connected, refilled to the share that a batch needs."""
+        posed = np.sort(posed)
+        kept = posed[np.isin(self.place[posed], thin(self.place[posed].tolist(), self.model.k, len(posed)))]
+        lacking = min(len(posed), math.ceil(self.model.q * batch) + 1) - len(kept)
+        return np.concatenate((kept, self.draw(np.setdiff1d(posed, kept), lacking))) if lacking > 0 else kept
+
+
+def policy(model: Model, rng: np.random.Generator, most_runs: int = 80, retries: int = 3, stalls: int = 2, compress: bool = True, decay: float = 1.0) -> dict:
+    """Discover a component, complete it from anchors and draws, peel it off, until nothing new comes out."""
+    at = Site(model, rng)
+    pool = np.arange(len(at.place))
+    done: list[np.ndarray] = []
+    active, exhausted, missed, stalled = np.zeros(0, np.int64), False, 0, 0
+    weight = np.ones(len(pool))
+    while len(pool) and at.runs < most_runs and not exhausted:
+        batch = min(model.batch, len(pool))
+        if not len(active):
+            active = at.reconstruct(at.draw(pool, batch))
+            missed = 0 if len(active) else missed + 1
+            exhausted = missed > (1 if done else retries)
+            stalled, weight = 0, np.ones(len(at.place))
+            continue
+        anchor = at.anchor(active, batch) if compress else active
+        drawn = at.draw(np.setdiff1d(pool, active), max(0, batch - len(anchor)), weight if decay < 1 else None)
+        found = at.reconstruct(np.concatenate((anchor, drawn)))
+        grown = np.union1d(active, found) if np.isin(found, anchor).any() else active
+        weight[np.setdiff1d(drawn, found)] *= decay
+        stalled = 0 if len(grown) > len(active) else stalled + 1
+        active = grown
+        if stalled >= stalls or not len(drawn):
+            done.append(active)
+            pool, active, stalled = np.setdiff1d(pool, active), np.zeros(0, np.int64), 0
+    if len(active):
+        done.append(active)
+        pool = np.setdiff1d(pool, active)
+    for i, model_photos in enumerate(done):  # what is left is tried once with each model
+        batch = min(model.batch, len(model_photos) + len(pool))
+        anchor = at.anchor(model_photos, batch)
+        drawn = at.draw(pool, batch - len(anchor)) if len(pool) and batch > len(anchor) else pool[:0]
+        if len(drawn):
+            found = at.reconstruct(np.concatenate((anchor, drawn)))
+            if np.isin(found, anchor).any():
+                done[i] = np.union1d(model_photos, found)
+                pool = np.setdiff1d(pool, found)
+    posed = sum(map(len, done))
+    return {"runs": at.runs, "fed": at.fed, "failures": at.failures, "models": len(done), "posed": posed, "coverage": posed / max(1, int(at.valid.sum())), "residue": len(pool), "exhausted": exhausted, "stuck": not done}
+
+
+def cold_start(model: Model, rng: np.random.Generator) -> dict:
+    """Whether one uniform draw comes out, and how many photos it poses."""
+    at = Site(model, rng)
+    posed = at.reconstruct(at.draw(np.arange(len(at.place)), model.batch))
+    return {"ok": len(posed) > 0, "posed": len(posed)}
+
+
+def proposal(model: Model, rng: np.random.Generator, noise: float = 0.0) -> dict:
+    """Share of valid photos posed if batches follow the order of places, with a share ``noise`` of the photos permuted."""
+    at = Site(model, rng)
+    order = np.arange(len(at.place))
+    moved = np.flatnonzero(rng.random(len(order)) < noise)
+    order[moved] = rng.permutation(order[moved])
+    posed = [at.reconstruct(order[a : a + model.batch]) for a in range(0, len(order), model.batch)]
+    return {"coverage": len(np.unique(np.concatenate(posed))) / max(1, int(at.valid.sum())), "good_runs": float(sum(len(x) > 0 for x in posed))}
+
+
+def sweep(spark: SparkSession, cases: list[tuple[str, Callable[[np.random.Generator], dict]]], trials: int, schema: str, seed: int = 1) -> DataFrame:
+    """Each named case ``trials`` times, trials dealt over tasks; a trial's numbers depend on seed, case and trial only."""
+    names = [n for n, _ in cases]
+    grid = spark.range(len(cases) * trials).repartition(min(len(cases) * trials, spark.sparkContext.defaultParallelism), "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["id"].tolist()
+            yield pd.DataFrame([{"name": names[i // trials], "trial": i % trials} | cases[i // trials][1](np.random.default_rng([seed, i // trials, i % trials])) for i in ids])
+
+    return grid.mapInPandas(run, f"name string, trial long, {schema}")

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsort.functions import columns as C
+from capsort.functions.texts import is_cloud_path
 from capsort.sources.photos import IMAGE_EXTENSIONS
 
 RESERVED = r"(^|/)(group-[^/]*|_excluded|_unassigned)/"
-#: Path parts that mark cloud folders.
-CLOUD = ("/Library/Mobile Documents/", "/Library/CloudStorage/", "/iCloud Drive/")
 
 
 def is_image(path: Column) -> Column:
@@ -42,9 +41,7 @@ def select_images(files: DataFrame, folder: str, output: str | None = None) -> D
 def folder_summary(files: DataFrame) -> DataFrame:
     """images, placeholders and whether any path is in a cloud folder."""
     stub = C.extension(F.col("path")) == "icloud"
-    cloud = F.lit(False)
-    for part in CLOUD:
-        cloud = cloud | F.col("path").contains(part)
+    cloud = is_cloud_path(F.col("path"))
     return files.agg(F.count_if(is_image(F.col("path"))).alias("images"), F.count_if(stub).alias("placeholders"), F.coalesce(F.bool_or(cloud), F.lit(False)).alias("cloud"))
 
 

@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from capsort import catalogue
+from capsort import catalogue, command
 from capsort.config import GroupingSettings, QualitySettings, SortRequest
 from capsort.functions import columns as C
+from capsort.functions import texts
 from capsort.operators import graph, quality, raster, simulate, stats
 from capsort.plans import sorting
-from capsort.sources import feed, images, pointcloud
+from capsort.sources import feed, images, pointcloud, staging
 from capsort.streaming import events
 
 DATA = "/root/testdata/sf0.001"
@@ -148,6 +149,74 @@ def test_simulator(spark):
     assert simulate.site(spark, [10, 5], 1.0, 1).filter("valid").count() == 15
 
 
+def test_policies(spark):
+    rng = np.random.default_rng
+    whole = [simulate.cold_start(simulate.Model((1000,), 1000), rng(k))["ok"] for k in range(20)]
+    thin = [simulate.cold_start(simulate.Model((500, 500, 500), 1000), rng(k))["ok"] for k in range(20)]
+    assert all(whole) and not any(thin)
+    found = [simulate.policy(simulate.Model((700, 200, 100), 1000), rng(k)) for k in range(5)]
+    assert all(f["coverage"] == 1.0 and f["models"] == 3 and f["runs"] == 14 for f in found)
+    assert all(simulate.policy(simulate.Model((1000,), 1000), rng(k))["runs"] == 6 for k in range(5))
+    assert simulate.policy(simulate.Model((500, 300, 200), 1000), rng(1))["stuck"]
+    even = [np.mean([simulate.proposal(simulate.Model((2000, 1000), 500), rng(k), noise)["coverage"] for k in range(5)]) for noise in (0.0, 0.3, 1.0)]
+    assert even[0] > 0.95 and even[0] > even[1] > even[2]
+    rows = simulate.sweep(spark, [("a", lambda r: {"ok": True, "posed": int(r.integers(9))}), ("b", lambda r: {"ok": False, "posed": 0})], 3, "ok boolean, posed long")
+    assert [(r.name, r.rate) for r in simulate.trial_means(rows, "name").orderBy("name").collect()] == [("a", 1.0), ("b", 0.0)]
+
+
+def test_texts(spark):
+    one, lit = spark.range(1), lambda x: F.lit(x)
+    say = lambda *cs: list(one.select(*cs).first())
+    assert say(*[texts.remaining_text(lit(s)) for s in (-5.0, 59.9, 60.0, 1800.0, 3600.0, 5400.0)]) == ["残り 1 分未満", "残り 1 分未満", "残り約 1 分", "残り約 30 分", "残り約 1 時間", "残り約 1 時間 30 分"]
+    none = F.lit(None)
+    assert say(texts.progress_text(none.cast("string"), none.cast("double")), texts.progress_text(lit("meshGeneration"), none.cast("double"))) == [None, "メッシュの生成中"]
+    assert say(texts.signal_name(lit(9)), texts.signal_name(lit(99)), texts.progress_phrase(none.cast("double"))) == ["シグナル 9: SIGKILL — メモリ不足などで OS に強制終了された可能性", "シグナル 99", ""]
+    notes = say(texts.folder_notes(lit(0), lit(1000), lit(2), lit(True)))[0]
+    assert len(notes) == 3 and notes[0].startswith("入力画像: 0 枚") and ".icloud" in notes[2]
+    assert say(texts.fix_time(lit("2024:01:01"), lit("00:00:12.75")), texts.fix_time(lit("2024:01:01"), none.cast("string")), texts.signed_altitude(lit(3.0), lit(1))) == [1704067212.0, None, -3.0]
+    assert say(texts.is_cloud_path(lit("/Volumes/GoogleDrive/x")), texts.is_compilation_failure(lit("x ANECCompile() FAILED"))) == [True, True]
+    try:
+        raise ValueError("outer") from OSError(5, "inner")
+    except ValueError as e:
+        assert texts.error_chain(e).splitlines() == ["outer", "  domain=ValueError code=0", "  underlying:", "    domain=OSError code=5"]
+
+
+def test_staging(spark, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "root"
+    folder.mkdir()
+    for n in ("b.JPG", "a.png", ".hid.jpg", "n.txt"):
+        (folder / n).write_bytes(b"12345")
+    with staging.staged_input(str(folder), str(root), wanted=True) as copy:
+        assert sorted(p.name for p in type(tmp_path)(copy).iterdir()) == ["a.png", "b.JPG"]
+    assert list(root.iterdir()) == []
+    with pytest.raises(InterruptedError):
+        staging.stage(str(folder), str(root), lambda: True)
+    assert list(root.iterdir()) == [] and staging.stage(str(tmp_path / "none"), str(root)) is None
+    old = root / "old"
+    old.mkdir()
+    assert staging.purge_stale(str(root), old.stat().st_mtime + 24 * 3600) == 0 and staging.purge_stale(str(root), old.stat().st_mtime + 24 * 3600 + 1) == 1
+    places = spark.createDataFrame([("group-01", "a.png", "a.png"), ("_unassigned", "b.JPG", "b.JPG"), ("x", "lost.png", "lost.png")], "bucket string, relative_path string, file_name string")
+    for link in ("hardlink", "copy", "symlink"):
+        staging.place_all(places, str(folder), str(tmp_path / "out"), link)
+        assert (tmp_path / "out/group-01/a.png").read_bytes() == b"12345" and (tmp_path / "out/group-01/a.png").is_symlink() == (link == "symlink")
+    assert not (tmp_path / "out/x").exists() and staging.needs_staging("/Volumes/GoogleDrive") and staging.staged_name("/", "u") == "input-u"
+
+
+def test_commands():
+    made = command.from_arguments(["sort", "/in", "--overlap", "7", "/out", "--dry-run", "--no-recursive", "--time-gap", "12.5"])
+    assert made == command.Command("/in", "/out", SortRequest(overlap=7, dry_run=True, recursive=False, time_gap=12.5))
+    again = command.from_arguments(command.to_arguments(made))
+    assert again.request.time_gap == 13 and again.request.overlap == 7 and not again.request.recursive
+    url = "capsort://sort?input=%2Fin+1&output=/out&dryRun=YES&groupThreshold=0.4&link=copy&zzz=1"
+    assert command.from_url(url) == command.Command("/in+1", "/out", SortRequest(dry_run=True, group_threshold=0.4, link="copy"))
+    for bad in (["sort", "/in"], ["sort", "/a", "/b", "--overlap"], ["sort", "/a", "/b", "--overlap", "1.5"], ["sort", "/a", "/b", "--time-gap", "nan"], ["sort", "/a", "/b", "--zzz"], ["sort", "/a", "/b", "--link", "x"], ["/in"]):
+        with pytest.raises(command.CommandError):
+            command.from_arguments(bad)
+    for bad in ("capsort://other?input=a&output=b", "x://sort?input=a&output=b", "capsort://sort?input=a&output=", "capsort://sort?input=a&output=b&recursive=maybe"):
+        with pytest.raises(command.CommandError):
+            command.from_url(bad)
+
+
 def test_request_rules():
     assert SortRequest(max_per_group=150, overlap=15).grouping.max_per_group == 120
     assert SortRequest(max_per_group=40, min_per_group=20, overlap=15).grouping.max_per_group == 40
@@ -157,7 +226,7 @@ def test_request_rules():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are absent")
-@pytest.mark.parametrize("name", ["pair_score_histogram", "near_duplicate_runs", "blur_threshold", "knn_pairs", "release_feed", "progress_throttle", "join_as_of", "event_line_decode", "group_links"])
+@pytest.mark.parametrize("name", ["pair_score_histogram", "near_duplicate_runs", "blur_threshold", "knn_pairs", "release_feed", "progress_throttle", "join_as_of", "event_line_decode", "group_links", "shown_texts", "shown_names"])
 def test_catalogue_matches_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
