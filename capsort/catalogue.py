@@ -424,7 +424,7 @@ def anchor_thinning(spark, sf_dir):
 
 @query()
 def cold_start_sweep(spark, sf_dir):
-    cases = [(f"n={n}", lambda rng, n=n: simulate.cold_start(simulate.Model((n // 2, n - n // 2), 500), rng)) for n in (500, 600, 750)]
+    cases = [(f"n={n}", lambda rng, n=n: simulate.cold_start(simulate.Model((n,), 500), rng)) for n in (500, 600, 750)]
     trials = simulate.sweep(spark, cases, 40, "ok boolean, posed long")
     return simulate.trial_means(trials, "name").orderBy("name")
 
