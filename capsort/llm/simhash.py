@@ -10,6 +10,13 @@ Copies share a fingerprint and are joined once as one vertex: a group of copies
 its size. Components come from min-label propagation with pointer jumping over the distinct
 fingerprints that have a link; each round is a table in the shared folder. Nothing is collected.
 
+``keep_representatives`` works on a similarity of word shingles instead (five words, 0.8 or more). At that
+similarity 15 % of the bits differ, too many for a ball around all of 64 bits, so the fingerprint is wider
+(``WIDE`` bits or more) and its segments are many: a pair of the least similarity agrees within one bit in at
+least one of them with probability ``RECALL``, and more similar pairs nearly always. The width of a segment is
+the binary logarithm of the number of documents, so the matches a document fetches by chance per
+segment and probe stay about one at every size. Complete distances are verified over the whole fingerprint.
+
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; fewer words
 than a shingle give one shingle, the whole sequence. Rows with equal ids each get their row. A null id never
 names a component unless all ids of it are null. Extra columns are not read.
@@ -17,6 +24,7 @@ names a component unless all ids of it are null. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,26 +38,52 @@ from capsort.llm.common import cut, drop_tables
 WORDS, BITS, SEED = 4, 4, 42
 #: Bit ranges (start, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Word shingles, similarity, least bits and segment recall of ``keep_representatives``.
+SHINGLE, SIMILARITY, WIDE, RECALL = 5, 0.8, 1024, 0.97
+#: Standard deviations that a complete distance may lie above its expected value at the least similarity.
+MARGIN = 1.3
+#: Differing bits allowed between last words in the join: 3.5 standard deviations at the least similarity.
+LOOSE = 20
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; none for a text without words."""
     # bytes.lower() and bytes.split() know ASCII only: A-Z, and exactly space and \t \n \v \f \r.
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     whole = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)] if parts else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     n = len(parts) - words + 1
-    hashes = np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit number of the bits that over half of ``hashes`` have; 0 for no hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory for very long texts
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        full = len(bits) // 255 * 255  # 255 rows are added without leaving bytes
+        ones += bits[:full].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, words))
+
+
+def wide_fingerprint(text: str | None, words: int, longs: int) -> list[int]:
+    """A fingerprint of ``longs`` unsigned 64-bit numbers: the shingle hashes, mixed anew for each."""
+    hashes, out = shingle_hashes(text, words), []
+    for k in range(longs):
+        h = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        out.append(majority(h ^ (h >> np.uint64(31))))
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -124,13 +158,80 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(prints: DataFrame, bits: int) -> DataFrame:
-    """Per distinct fingerprint: fp_, head (its least row: null ids last, then id and text hash) and root, the component."""
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head"))
-    roots = components(links(nodes.select("fp"), bits))
+def _with_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per distinct fingerprint: fp_, head and root, the component (itself if it has no link)."""
+    roots = components(pairs)
     return cut(nodes.join(roots, nodes.fp == roots.node, "left").select(F.col("fp").alias("fp_"), "head", F.coalesce("root", "fp").alias("root")))
 
 
+def _head() -> Column:
+    """The least row of a group: null ids last, then id and text hash."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head")
+
+
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    nodes = prints.groupBy("fp").agg(_head())
+    return _with_roots(nodes, links(nodes.select("fp"), bits))
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two equally long texts with this Jaccard similarity of shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
+    """(width of a segment, segments, 64-bit numbers of the fingerprint) for ``n`` documents."""
+    p = differing(similarity)
+    width = min(32, max(16, math.ceil(math.log2(max(n, 2)))))
+    agree = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    per_long = 64 // width
+    return width, segments, max(WIDE // 64, -(-segments // per_long) + 1)
+
+
+def wide_fingerprints(docs: DataFrame, words: int, longs: int) -> DataFrame:
+    """doc_id, mark, wide (the fingerprint) and fp, its last number: the name of the fingerprint in the joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.array([wide_fingerprint(t, words, longs) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, longs).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, longs, dtype=np.int32)), pa.array(wide.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(np.ascontiguousarray(wide[:, -1]))], ["doc_id", "mark", "wide", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, wide array<long>, fp long")
+
+
+def wide_links(nodes: DataFrame, width: int, segments: int, longs: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b of fp of ``nodes`` (fp, wide; fp distinct) whose complete distance fits ``similarity``.
+
+    Of two segments that differ in one bit, one has an odd number of ones: only odd segments enumerate their
+    ball, so a document sends half as many probes.
+    """
+    p, size, per_long = differing(similarity), 64 * longs, 64 // width
+    limit = int(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
+    value = [_segment(F.col("wide")[s // per_long], s % per_long * width, width) for s in range(segments)]
+    tag = [F.lit(s << 32).cast("long") for s in range(segments)]
+    own = F.array(*[t + v for t, v in zip(tag, value, strict=True)])
+    # key ^ (1 << bit) changes the segment alone, the tag above it stays
+    ball = F.flatten(F.transform(F.filter(own, lambda k: F.bit_count(k.bitwiseAND(F.lit((1 << width) - 1))) % 2 == 1), lambda k: F.array(*[k.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width)])))
+    table = nodes.select(F.col("fp").alias("b"), F.explode(own).alias("key_b"))
+    probes = nodes.select(F.col("fp").alias("a"), F.explode(F.concat(own, ball)).alias("key"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LOOSE)
+    met = probes.join(table, (F.col("key") == F.col("key_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (nodes.select(F.col("fp").alias(f"__{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    both = met.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b"))
+    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.filter(distance <= limit).select("a", "b")
+
+
+def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    width, segments, longs = layout(docs.count(), similarity)
+    prints = cut(wide_fingerprints(docs, words, longs))
+    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("wide").alias("wide")))
+    return _with_roots(nodes.select("fp", "head"), wide_links(nodes.select("fp", "wide"), width, segments, longs, similarity))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """Per document: doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = cut(fingerprints(docs, words))
@@ -140,13 +241,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     return prints.join(by_print, prints.fp == by_print.fp_).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+def keep_representatives(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, null ids last, ties by the text's hash.
 
+    Groups are the components of pairs whose fingerprints are as close as ``similarity`` or more makes them.
+
     The row is told by id and text, so rows of one id (or of none) in different groups are all kept; rows that repeat
     both count as one.
     """
-    named = _classes(cut(fingerprints(docs, words)), bits)
+    named = _similar_classes(docs, words, similarity)
     heads = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("__capsort_id"), F.col("head.mark").alias("__capsort_mark"))
     marked = docs.withColumn("__capsort_text", F.xxhash64("text"))
     same = marked["doc_id"].cast("long").eqNullSafe(heads["__capsort_id"]) & (marked["__capsort_text"] == heads["__capsort_mark"])

@@ -126,6 +126,28 @@ def test_links_find_all_close_pairs(spark):
     assert {(r.node, r.root) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(51)} | {(100, 100), (101, 100)}
 
 
+def test_representatives_of_similar_texts(spark):
+    rng = random.Random(7)
+    vocab = [f"w{k}" for k in range(400)]
+    texts, sets = [], []
+    for _ in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.randint(150, 400))]
+        for edits in (0, 0.004, 0.01, 0.08):  # the last ones share far less than 0.8 of their shingles
+            w = list(base)
+            for at in rng.sample(range(len(w)), int(edits * len(w))):
+                w[at] = rng.choice(vocab) + "new"
+            texts.append(" ".join(w))
+            sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    similar = [k for k in range(len(texts)) if any(alike(j, k) >= 0.8 for j in range(k - k % 4, k))]
+    assert sum(k in kept for k in similar) <= len(similar) // 50
+    unlike = [k for k in range(len(texts)) if all(alike(j, k) < 0.65 for j in range(k - k % 4, k))]
+    assert kept >= set(unlike) and len(unlike) >= 100
+    width, segments, longs = simhash.layout(10**9)
+    assert width == 30 and segments > 60 and (longs - 1) * (64 // width) >= segments
+
+
 def brute_repeats(texts):
     seen = {}
     for t in texts:
