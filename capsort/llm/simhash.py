@@ -158,12 +158,6 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_roots(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per distinct fingerprint: fp_, head and root, the component (itself if it has no link)."""
-    roots = components(pairs)
-    return cut(nodes.join(roots, nodes.fp == roots.node, "left").select(F.col("fp").alias("fp_"), "head", F.coalesce("root", "fp").alias("root")))
-
-
 def _head() -> Column:
     """The least row of a group: null ids last, then id and text hash."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("head")
@@ -171,7 +165,7 @@ def _head() -> Column:
 
 def _classes(prints: DataFrame, bits: int) -> DataFrame:
     nodes = prints.groupBy("fp").agg(_head())
-    return _with_roots(nodes, links(nodes.select("fp"), bits))
+    return cut(_rooted(nodes, links(nodes.select("fp"), bits)).withColumnRenamed("fp", "fp_"))
 
 
 def differing(similarity: float) -> float:
@@ -202,34 +196,58 @@ def wide_fingerprints(docs: DataFrame, words: int, longs: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, mark long, wide array<long>, fp long")
 
 
+def _alike(met: DataFrame, nodes: DataFrame, longs: int, similarity: float) -> DataFrame:
+    """Of the pairs ``met`` (a, b) those whose complete distance fits ``similarity``, each once, a < b."""
+    p, size = differing(similarity), 64 * longs
+    limit = int(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (nodes.select(F.col("fp").alias(f"__{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    first = pairs.join(left, F.col("a") == F.col("__a"))
+    return first.join(right, (F.col("b") == F.col("__b")) & (distance <= limit)).select("a", "b")
+
+
+def _rooted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``nodes`` with the column root, the component by ``pairs``; itself if it has no pair."""
+    roots = components(pairs)
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def wide_links(nodes: DataFrame, width: int, segments: int, longs: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs a < b of fp of ``nodes`` (fp, wide; fp distinct) whose complete distance fits ``similarity``.
+    """Pairs a < b of fp of ``nodes`` (fp, wide; fp distinct) with the components of all pairs found close.
+
+    First each document is held against the least and the greatest fingerprint of its own place in each segment's
+    table: a dense group becomes few stars, linear in its size. Then the balls are fetched, and only pairs of
+    different stars are reported: pairs within a star's component would change no component.
 
     Of two segments that differ in one bit, one has an odd number of ones: only odd segments enumerate their
     ball, so a document sends half as many probes.
     """
-    p, size, per_long = differing(similarity), 64 * longs, 64 // width
-    limit = int(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
+    per_long = 64 // width
     value = [_segment(F.col("wide")[s // per_long], s % per_long * width, width) for s in range(segments)]
-    tag = [F.lit(s << 32).cast("long") for s in range(segments)]
-    own = F.array(*[t + v for t, v in zip(tag, value, strict=True)])
+    own = F.array(*[F.lit(s << 32).cast("long") + v for s, v in enumerate(value)])
     # key ^ (1 << bit) changes the segment alone, the tag above it stays
     ball = F.flatten(F.transform(F.filter(own, lambda k: F.bit_count(k.bitwiseAND(F.lit((1 << width) - 1))) % 2 == 1), lambda k: F.array(*[k.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width)])))
-    table = nodes.select(F.col("fp").alias("b"), F.explode(own).alias("key_b"))
-    probes = nodes.select(F.col("fp").alias("a"), F.explode(F.concat(own, ball)).alias("key"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LOOSE)
-    met = probes.join(table, (F.col("key") == F.col("key_b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (nodes.select(F.col("fp").alias(f"__{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
-    both = met.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b"))
-    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return both.filter(distance <= limit).select("a", "b")
+
+    places = nodes.select(F.col("fp").alias("b"), F.explode(own).alias("key_b"))
+    ends = places.groupBy(F.col("key_b").alias("key")).agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low != high")
+    led = ends.select("key", F.explode(F.array("low", "high")).alias("a"))
+    stars = cut(_alike(led.join(places, (F.col("key") == F.col("key_b")) & near), nodes, longs, similarity))
+
+    rooted = cut(_rooted(nodes, stars))
+    table = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(own).alias("key_b"))
+    probes = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(F.concat(own, ball)).alias("key"))
+    met = probes.join(table, (F.col("key") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    return stars.unionAll(_alike(met, nodes, longs, similarity))
 
 
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     width, segments, longs = layout(docs.count(), similarity)
     prints = cut(wide_fingerprints(docs, words, longs))
     nodes = cut(prints.groupBy("fp").agg(_head(), F.min("wide").alias("wide")))
-    return _with_roots(nodes.select("fp", "head"), wide_links(nodes.select("fp", "wide"), width, segments, longs, similarity))
+    pairs = wide_links(nodes.select("fp", "wide"), width, segments, longs, similarity)
+    return cut(_rooted(nodes.select("fp", "head"), pairs).withColumnRenamed("fp", "fp_"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
