@@ -10,12 +10,12 @@ Copies share a fingerprint and are joined once as one vertex: a group of copies
 its size. Components come from min-label propagation with pointer jumping over the distinct
 fingerprints that have a link; each round is a table in the shared folder. Nothing is collected.
 
-``keep_representatives`` works on a similarity of word shingles instead (five words, 0.8 or more). At that
-similarity 15 % of the bits differ, too many for a ball around all of 64 bits, so the fingerprint is wider
-(``WIDE`` bits or more) and its segments are many: a pair of the least similarity agrees within one bit in at
-least one of them with probability ``RECALL``, and more similar pairs nearly always. The width of a segment is
-the binary logarithm of the number of documents, so the matches a document fetches by chance per
-segment and probe stay about one at every size. Complete distances are verified over the whole fingerprint.
+``keep_representatives`` works on a similarity of word shingles instead (five words, 0.8 or more), where 15 %
+of the bits differ: no fingerprint tells such pairs exactly. There each distinct set of shingles is one vertex. All
+shingles have one total order; two sets as similar as asked share one of the first shingles of both (prefix
+filter), so an equi-join on these meets every such pair, whatever else the corpus holds. Each pair met is
+verified on its whole sets before components are built. Shingles that a sample shows to be frequent come last in the
+order: the sample sets the cost, never the result.
 
 Defined cases: a null text has no words; no words give fingerprint zero, linked like any other; fewer words
 than a shingle give one shingle, the whole sequence. Rows with equal ids each get their row. A null id never
@@ -38,12 +38,12 @@ from capsort.llm.common import cut, drop_tables
 WORDS, BITS, SEED = 4, 4, 42
 #: Bit ranges (start, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Word shingles, similarity, least bits and segment recall of ``keep_representatives``.
-SHINGLE, SIMILARITY, WIDE, RECALL = 5, 0.8, 1024, 0.97
-#: Standard deviations that a complete distance may lie above its expected value at the least similarity.
-MARGIN = 1.3
-#: Differing bits allowed between last words in the join: 3.5 standard deviations at the least similarity.
-LOOSE = 20
+#: Word shingles and similarity of ``keep_representatives``.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Texts sampled for frequent shingles, share of them that makes one frequent, and most of these kept.
+SAMPLED, FREQUENT, MOST = 20_000, 0.0005, 50_000
+#: Least bits and segment recall of ``layout``.
+WIDE, RECALL = 1024, 0.97
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -75,17 +75,6 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def wide_fingerprint(text: str | None, words: int, longs: int) -> list[int]:
-    """A fingerprint of ``longs`` unsigned 64-bit numbers: the shingle hashes, mixed anew for each."""
-    hashes, out = shingle_hashes(text, words), []
-    for k in range(longs):
-        h = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        out.append(majority(h ^ (h >> np.uint64(31))))
-    return out
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, mark (a hash of the text) and fp (the fingerprint's bits as a signed long), one row a document, one narrow scan."""
 
@@ -183,71 +172,134 @@ def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tu
     return width, segments, max(WIDE // 64, -(-segments // per_long) + 1)
 
 
-def wide_fingerprints(docs: DataFrame, words: int, longs: int) -> DataFrame:
-    """doc_id, mark, wide (the fingerprint) and fp, its last number: the name of the fingerprint in the joins."""
+def _rooted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``nodes`` with the column root, the component by ``pairs``; itself if it has no pair."""
+    roots = components(pairs)
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def _least_common(size: int, share: float) -> int:
+    return math.ceil(size * share - 1e-9)
+
+
+def _sampled(docs: DataFrame) -> DataFrame:
+    """About ``SAMPLED`` of the texts, chosen by their hash."""
+    rate = min(1.0, SAMPLED / max(1, docs.count()))
+    return docs.select("text").filter(F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000)))
+
+
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the shingles that many sampled texts hold, the most frequent last."""
+    sample = _sampled(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.array([wide_fingerprint(t, words, longs) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, longs).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, longs, dtype=np.int32)), pa.array(wide.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(np.ascontiguousarray(wide[:, -1]))], ["doc_id", "mark", "wide", "fp"])
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, wide array<long>, fp long")
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count()
+    least = max(3, int(FREQUENT * SAMPLED))
+    rows = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).collect()
+    return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def _alike(met: DataFrame, nodes: DataFrame, longs: int, similarity: float) -> DataFrame:
-    """Of the pairs ``met`` (a, b) those whose complete distance fits ``similarity``, each once, a < b."""
-    p, size = differing(similarity), 64 * longs
-    limit = int(size * p + MARGIN * math.sqrt(size * p * (1 - p)))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (nodes.select(F.col("fp").alias(f"__{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
-    distance = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    first = pairs.join(left, F.col("a") == F.col("__a"))
-    return first.join(right, (F.col("b") == F.col("__b")) & (distance <= limit)).select("a", "b")
+def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """doc_id, mark, fp (a hash of the set of shingles), size (of the set) and keys, its first shingles in the order.
 
+    The order is that of the hashes, with those of ``last`` after all others in the order given.
+    """
+    place = np.argsort(last)
+    known = last[place]
 
-def _rooted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``nodes`` with the column root, the component by ``pairs``; itself if it has no pair."""
-    roots = components(pairs)
-    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    def first(own: np.ndarray) -> np.ndarray:
+        n = len(own) - _least_common(len(own), similarity) + 1 if len(own) else 0
+        rank = np.zeros(len(own), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            rank = np.where(known[at] == own, place[at] + 1, 0)
+        return own[np.argsort(rank, kind="stable")[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+            names = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0 for own in owns], np.uint64).view(np.int64)
+            keys = pa.array([first(own).view(np.int64) for own in owns], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(own) for own in owns], pa.int32()), keys], ["doc_id", "mark", "fp", "size", "keys"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, size int, keys array<long>")
 
-def wide_links(nodes: DataFrame, width: int, segments: int, longs: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs a < b of fp of ``nodes`` (fp, wide; fp distinct) with the components of all pairs found close.
 
-    First each document is held against the least and the greatest fingerprint of its own place in each segment's
-    table: a dense group becomes few stars, linear in its size. Then the balls are fetched, and only pairs of
-    different stars are reported: pairs within a star's component would change no component.
+def verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs ``met`` (a, b) those with this Jaccard similarity of shingle sets or more, each once, a < b.
 
-    Of two segments that differ in one bit, one has an odd number of ones: only odd segments enumerate their
-    ball, so a document sends half as many probes.
+    Only texts of a pair that was met are read again, one for each set.
     """
-    per_long = 64 // width
-    value = [_segment(F.col("wide")[s // per_long], s % per_long * width, width) for s in range(segments)]
-    own = F.array(*[F.lit(s << 32).cast("long") + v for s, v in enumerate(value)])
-    # key ^ (1 << bit) changes the segment alone, the tag above it stays
-    ball = F.flatten(F.transform(F.filter(own, lambda k: F.bit_count(k.bitwiseAND(F.lit((1 << width) - 1))) % 2 == 1), lambda k: F.array(*[k.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width)])))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LOOSE)
 
-    places = nodes.select(F.col("fp").alias("b"), F.explode(own).alias("key_b"))
-    ends = places.groupBy(F.col("key_b").alias("key")).agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low != high")
-    led = ends.select("key", F.explode(F.array("low", "high")).alias("a"))
-    stars = cut(_alike(led.join(places, (F.col("key") == F.col("key_b")) & near), nodes, longs, similarity))
-
-    rooted = cut(_rooted(nodes, stars))
-    table = rooted.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(own).alias("key_b"))
-    probes = rooted.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(F.concat(own, ball)).alias("key"))
-    met = probes.join(table, (F.col("key") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    return stars.unionAll(_alike(met, nodes, longs, similarity))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], ["node", "own"])
+
+    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.select("fp", F.col("head.mark").alias("mark_")).join(named, F.col("fp") == F.col("node")).select("node", "mark_")
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(wanted, F.col("mark") == F.col("mark_")).groupBy("node").agg(F.min("text").alias("text"))
+    own = cut(texts.mapInArrow(whole, "node long, own array<long>"))
+    left, right = (own.select(F.col("node").alias(f"__{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
+    first = pairs.join(left, F.col("a") == F.col("__a")).select("a", "b", "own_a")
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    alike = common / (F.size("own_a") + F.size("own_b") - common) >= F.lit(similarity)
+    return first.join(right, (F.col("b") == F.col("__b")) & alike).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs a < b of fp of ``nodes`` (fp, head, size, keys; fp distinct) with the components of all pairs that are similar.
+
+    Of two sets the larger sends its first shingles to those of the smaller, which needs fewer. Shingles of one set
+    go first. Then each set is held against the least and the greatest of its place: a dense group becomes few
+    stars, linear in its size. Last, pairs of different stars are met: pairs within a star's component would
+    change no component.
+    """
+    share = 2 * similarity / (1 + similarity)
+    short = F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)) + 1
+    rows = nodes.select("fp", "size", short.alias("short"), F.posexplode("keys").alias("at", "key"))
+    ends = rows.groupBy(F.col("key").alias("key_")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high")
+    places = cut(rows.join(ends, F.col("key") == F.col("key_")).drop("key_"))
+
+    def fits(x: str, y: str) -> Column:
+        """At the first shingle that both sets hold, what is left of them can still make up the similarity."""
+        total = F.col(f"size_{x}") + F.col(f"size_{y}")
+        left = F.least(F.col(f"size_{x}") - F.col(f"at_{x}"), F.col(f"size_{y}") - F.col(f"at_{y}"))
+        return left >= F.lit(share / 2) * total - F.lit(1e-6)
+
+    def side(x: str, *more: str) -> DataFrame:
+        return rooted.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "at", "key", "root", *more)])
+
+    tips = places.filter("fp = low OR fp = high").select(F.col("fp").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("key").alias("key_a"))
+    all_b = places.select(F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("key").alias("key_b"))
+    led = tips.join(all_b, (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & fits("a", "b"))
+    stars = cut(verified(led.select("a", "b"), nodes, docs, words, similarity))
+
+    roots = cut(_rooted(nodes.select("fp"), stars))
+    tied = places.drop("low", "high").join(roots.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).drop("fp_")
+    mixed = tied.groupBy(F.col("key").alias("key_")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key_")
+    rooted = cut(tied.join(mixed, F.col("key") == F.col("key_")).drop("key_"))
+    later = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b")))
+    table = side("b", "short").filter("at_b < short_b")
+    met = side("a").join(table, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & later & fits("a", "b"))
+    return stars.unionAll(verified(met.select("a", "b"), nodes, docs, words, similarity))
 
 
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    width, segments, longs = layout(docs.count(), similarity)
-    prints = cut(wide_fingerprints(docs, words, longs))
-    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("wide").alias("wide")))
-    pairs = wide_links(nodes.select("fp", "wide"), width, segments, longs, similarity)
-    return cut(_rooted(nodes.select("fp", "head"), pairs).withColumnRenamed("fp", "fp_"))
+    prints = cut(sets(docs, words, similarity, frequent(docs, words)))
+    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("size").alias("size"), F.first("keys").alias("keys")))
+    return cut(_rooted(nodes.select("fp", "head"), similar_links(nodes, docs, words, similarity)).withColumnRenamed("fp", "fp_"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -262,7 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 def keep_representatives(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, null ids last, ties by the text's hash.
 
-    Groups are the components of pairs whose fingerprints are as close as ``similarity`` or more makes them.
+    Groups are the components of all pairs that share ``similarity`` or more of their distinct word shingles.
 
     The row is told by id and text, so rows of one id (or of none) in different groups are all kept; rows that repeat
     both count as one.

@@ -148,6 +148,39 @@ def test_representatives_of_similar_texts(spark):
     assert width == 30 and segments > 60 and (longs - 1) * (64 // width) >= segments
 
 
+def kept_by_brute_force(texts):
+    """Of each component of pairs with Jaccard 0.8 or more of five-word shingles the first."""
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    return {k for k, g in enumerate(group) if k == g}
+
+
+def texts_near_the_limit():
+    rng = random.Random(11)
+    line = " ".join(f"c{k}" for k in range(11))
+    texts = [" ".join(f"r{rng.random()}" for _ in range(n)) + f" {line}" * times for n, times in ((200, 15), (1000, 40)) for _ in range(4)]
+    for _ in range(40):  # edits spread so that similarities lie about 0.7 to 0.85
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for edits in (0.018, 0.021, 0.024, 0.03):
+            w = list(base)
+            for at in rng.sample(range(len(w)), max(1, round(edits * len(w)))):
+                w[at] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+    return texts + [" ".join(map(str, range(n))) for n in (3, 5, 6, 9, 10, 13, 14)]
+
+
+def test_representatives_are_those_of_brute_force(spark):
+    texts = texts_near_the_limit()
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == kept_by_brute_force(texts)
+
+
 def brute_repeats(texts):
     seen = {}
     for t in texts:
