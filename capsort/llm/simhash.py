@@ -235,22 +235,21 @@ def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> Da
     return rows.mapInArrow(run, "doc_id long, mark long, fp long, size int, keys array<long>")
 
 
-def verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs ``met`` (a, b) those with this Jaccard similarity of shingle sets or more, each once, a < b.
+def whole_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and own (its whole set) of the nodes ``named`` (node); one text of each is read again."""
 
-    Only texts of a pair that was met are read again, one for each set.
-    """
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], ["node", "own"])
 
-    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select("fp", F.col("head.mark").alias("mark_")).join(named, F.col("fp") == F.col("node")).select("node", "mark_")
     texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(wanted, F.col("mark") == F.col("mark_")).groupBy("node").agg(F.min("text").alias("text"))
-    own = cut(texts.mapInArrow(whole, "node long, own array<long>"))
+    return cut(texts.mapInArrow(run, "node long, own array<long>"))
+
+
+def verified(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets have this Jaccard similarity or more."""
     left, right = (own.select(F.col("node").alias(f"__{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
     first = pairs.join(left, F.col("a") == F.col("__a")).select("a", "b", "own_a")
     common = F.size(F.array_intersect("own_a", "own_b"))
@@ -258,6 +257,10 @@ def verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simi
     return first.join(right, (F.col("b") == F.col("__b")) & alike).select("a", "b")
 
 
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs a < b of fp of ``nodes`` (fp, head, size, keys; fp distinct) with the components of all pairs that are similar.
 
@@ -269,8 +272,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
     share = 2 * similarity / (1 + similarity)
     short = F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)) + 1
     rows = nodes.select("fp", "size", short.alias("short"), F.posexplode("keys").alias("at", "key"))
-    ends = rows.groupBy(F.col("key").alias("key_")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high")
-    places = cut(rows.join(ends, F.col("key") == F.col("key_")).drop("key_"))
+    near = Window.partitionBy("key")
+    places = cut(rows.withColumns({"low": F.min("fp").over(near), "high": F.max("fp").over(near)}).filter("low != high"))
+    own = whole_sets(places.select(F.col("fp").alias("node")).distinct(), nodes, docs, words)
 
     def fits(x: str, y: str) -> Column:
         """At the first shingle that both sets hold, what is left of them can still make up the similarity."""
@@ -284,7 +288,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
     tips = places.filter("fp = low OR fp = high").select(F.col("fp").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("key").alias("key_a"))
     all_b = places.select(F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("key").alias("key_b"))
     led = tips.join(all_b, (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & fits("a", "b"))
-    stars = cut(verified(led.select("a", "b"), nodes, docs, words, similarity))
+    tried = cut(_ordered(led))
+    stars = cut(verified(tried, own, similarity))
 
     roots = cut(_rooted(nodes.select("fp"), stars))
     tied = places.drop("low", "high").join(roots.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).drop("fp_")
@@ -293,12 +298,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
     later = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b")))
     table = side("b", "short").filter("at_b < short_b")
     met = side("a").join(table, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & later & fits("a", "b"))
-    return stars.unionAll(verified(met.select("a", "b"), nodes, docs, words, similarity))
+    fresh = cut(_ordered(met).join(tried, ["a", "b"], "left_anti"))
+    return stars.unionAll(verified(fresh, own, similarity))
 
 
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     prints = cut(sets(docs, words, similarity, frequent(docs, words)))
     nodes = cut(prints.groupBy("fp").agg(_head(), F.min("size").alias("size"), F.first("keys").alias("keys")))
+    drop_tables(docs.sparkSession, [prints])
     return cut(_rooted(nodes.select("fp", "head"), similar_links(nodes, docs, words, similarity)).withColumnRenamed("fp", "fp_"))
 
 

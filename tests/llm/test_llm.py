@@ -181,6 +181,15 @@ def test_representatives_are_those_of_brute_force(spark):
     assert kept == kept_by_brute_force(texts)
 
 
+def test_unrelated_rows_change_no_decision(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLED", 30)
+    texts = texts_near_the_limit()
+    other = [" ".join(f"o{k}x{j}" for j in range(30)) + " c0 c1 c2 c3 c4 c5 c6" for k in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts + other)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_representatives(rows).collect()}
+    assert kept == kept_by_brute_force(texts) | set(range(len(texts), len(texts) + len(other)))
+
+
 def brute_repeats(texts):
     seen = {}
     for t in texts:
