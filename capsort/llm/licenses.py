@@ -1,7 +1,8 @@
 """License scans by a trained paragraph classifier, scored with DataFrame functions only.
 
-Texts are cut into paragraphs at line feeds. A paragraph that holds a cue word is cut into words and word pairs;
-a sparse logistic regression over the licence families gives each family a probability. The model is trained on the
+Texts are cut into paragraphs at line feeds. A paragraph that holds a cue word, or ``SHARE`` of the words of any
+notice, is cut into words and word pairs; without the latter no prediction can be confirmed, so no family is lost. A
+sparse logistic regression over the licence families gives each family a probability. The model is trained on the
 driver from short notices written here (fixed values) with words dropped and changed, against texts of no family that
 use the same words. Its vocabulary is bounded by these notices, so it is a literal map in the plan.
 
@@ -11,7 +12,8 @@ confirmed if the paragraph holds at least ``SHARE`` of the words of one of the f
 
 All is row-local: no shuffle, no explode, no Python. Result per document: doc_id, n_paragraphs (not
 blank), n_notices (paragraphs classified as a licence, unknown ones too), families (sorted, comma-joined, confirmed only), top_family
-(most probable confirmed one; ties to the first in order), score (its probability), n_unknown.
+(most probable confirmed one; ties to the first in order), score (its probability), n_unknown
+(licences of no confirmed family, among the paragraphs that are scored).
 
 Defined cases: a null or empty text has no paragraphs and null top_family, score 0. Repeated rows give repeated results. Long texts
 are read whole. Extra columns are not read.
@@ -20,6 +22,7 @@ are read whole. Extra columns are not read.
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import numpy as np
@@ -46,10 +49,8 @@ OTHERS = [
     "Released under a custom license, version 1", "The committee gave permission to build", "Licensed by the state in which they work", "Permission to enter is given at the gate",
     "The public library is open", "Version 2.0 of the general report", "Creative work by the common people", "Copyright 2020 by the authors", "Contact us about a license",
 ]
-#: A paragraph without any of these words states no licence: the first rule of the model.
+#: A paragraph with any of these words is scored even if it is like no notice: it may state an unknown licence.
 CUE = r"(?i)(?<![\p{L}\p{N}])(licen[cs]ed?|licen[cs]es|copyright|permission|gpl|lgpl|spdx|cc0|redistribute)(?![\p{L}\p{N}])"
-#: Parts of the cue words: a text without any of them needs no closer look.
-CUE_PARTS = ("licen", "copyright", "permission", "gpl", "spdx", "cc0", "redistribute")
 TOKEN = r"[a-z0-9.]*[a-z0-9]"
 COPIES, ROUNDS, MISS, SHARE = 12, 400, 0.02, 0.6
 
@@ -140,27 +141,35 @@ def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
         e = _let(z, lambda zs: _let(F.array_max(zs), lambda most: F.transform(zs, lambda v: F.exp(v - most))))
         return _let(e, lambda es: _let(F.aggregate(es, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(es, lambda v: v / total)))
 
-    def verdict(paragraph: Column) -> Column:
+    used = F.from_json(F.lit(json.dumps(sorted({w for f in families for t in NOTICES[f] for w in tokens(t)}))), "array<string>")
+
+    def covers(n: Column, words: Column) -> Column:
+        return F.size(F.array_intersect(n["words"], words)) >= F.lit(SHARE) * F.size(n["words"])
+
+    def split_up(paragraph: Column) -> Column:
         words = F.regexp_extract_all(F.lower(paragraph), F.lit(TOKEN), F.lit(0))
-        return _let(words, lambda own: F.struct(probabilities(own).alias("p"), own.alias("words")))
+        return F.struct(words.alias("words"), paragraph.rlike(CUE).alias("cue"))
+
+    def scored(s: Column) -> Column:
+        return s["cue"] | _let(F.array_intersect(used, s["words"]), lambda own: (F.size(own) >= fewest) & F.exists(notices, lambda n: covers(n, own)))
+
+    def verdict(s: Column) -> Column:
+        return F.struct(probabilities(s["words"]).alias("p"), s["words"].alias("words"))
 
     def decided(v: Column) -> Column:
         return _let(F.slice(v["p"], 2, classes - 1), lambda own: _let(F.array_max(own), lambda top: _let((F.array_position(own, top) - 1).cast("int"), lambda k: F.struct(
             top.alias("p"),
             F.element_at(F.array(*map(F.lit, families)), k + 1).alias("family"),
-            F.exists(notices, lambda n: (n["k"] == k) & (F.size(F.array_intersect(n["words"], v["words"])) >= F.lit(SHARE) * F.size(n["words"]))).alias("confirmed"),
+            F.exists(notices, lambda n: (n["k"] == k) & covers(n, v["words"])).alias("confirmed"),
             F.element_at(v["p"], 1).alias("none"),
         ))))
 
-    text, low = F.coalesce(F.col("text"), F.lit("")), F.col("__capsort_low")
+    fewest = min(math.ceil(SHARE * len(set(tokens(t))) - 1e-9) for f in families for t in NOTICES[f])
+    text = F.coalesce(F.col("text"), F.lit(""))
     paragraphs = F.filter(F.split(text, "\n"), lambda t: F.btrim(t, F.lit(" \t\r\f\x0b")) != "")
-    maybe = F.lit(False)
-    for part in CUE_PARTS:
-        maybe = maybe | low.contains(part)
-    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.lower(text).alias("__capsort_low"))
-    cut = lowered.select("doc_id", maybe.alias("maybe"), paragraphs.alias("paragraphs"))
-    cued = F.when(F.col("maybe"), F.filter("paragraphs", lambda t: t.rlike(CUE))).otherwise(F.array().cast("array<string>"))
-    first = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.transform(cued, verdict).alias("v"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"))
+    parts = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform("paragraphs", split_up), scored).alias("s"))
+    first = parts.select("doc_id", "n_paragraphs", F.transform("s", verdict).alias("v"))
     found = first.select("doc_id", "n_paragraphs", F.transform("v", decided).alias("d"))
     sure = F.filter("d", lambda d: (d["p"] >= model["threshold"]) & d["confirmed"])
     unknown = F.filter("d", lambda d: (d["none"] < 0.5) & ~((d["p"] >= model["threshold"]) & d["confirmed"]))

@@ -235,6 +235,13 @@ def test_licenses(spark):
     assert got[6].n_unknown == 1 and got[3].n_paragraphs == 0 and got[0].n_paragraphs == 3
 
 
+def test_licenses_without_cue_words(spark):
+    texts = ["Text is available under CC BY-SA 4.0", "Available under the Apache 2.0 terms", "Lizenziert unter CC BY 4.0", "Publicado bajo licencia CC BY 4.0", "The harbour was quiet in the morning"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].families for k in range(5)] == ["CC-BY-SA", "Apache-2.0", "CC-BY", "CC-BY", ""]
+    assert got[4].n_notices == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     plain = [f"w{k}" for k in range(300)]
