@@ -3,7 +3,7 @@
 Documents are taken in shards of about ``SHARD`` bytes. Each shard gets a suffix array: its word positions,
 sorted by the hashes of the next four words (an order of words as good as any for equality search). Every
 test suffix is binary-searched in every shard; its range holds all places that share four words with it, and
-these are extended word by word to the longest verbatim match. A match of a whole window (10 words, or the
+these are extended word by word to a whole window, not past it. A match of a whole window (10 words, or the
 item if shorter) marks the document's words. Word hashes only find candidates: matches are verified on bytes.
 
 The test items are a stated query set: they are broadcast in blocks of at most ``BLOCK`` bytes of text, one
