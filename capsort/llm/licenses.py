@@ -6,7 +6,7 @@ sparse logistic regression over the licence families gives each family a probabi
 driver from short notices written here (fixed values) with words dropped and changed, against texts of no family that
 use the same words. Its vocabulary is bounded by these notices, so it is a literal map in the plan.
 
-The unknown class is calibrated: notices of each family are left out in turn from training, and the
+The unknown class is calibrated on texts of no family only: these are left out in turn from training, and the
 threshold is the lowest probability at which at most ``MISS`` of what belongs to no family passes. A prediction is
 confirmed if the paragraph holds at least ``SHARE`` of the words of one of the family's notices.
 
