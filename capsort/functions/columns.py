@@ -29,8 +29,9 @@ def sign_bits(vector: Column) -> Column:
 
 def thermometer(level: Column) -> Column:
     """The lowest ``level`` bits set, 63 at most."""
-    n = F.least(F.lit(63), F.greatest(F.lit(0), F.floor(level).cast("int")))
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n) - F.lit(1).cast("long")
+    n = F.greatest(F.lit(0), F.least(F.lit(63), F.floor(level))).cast("int")
+    # All ones shifted right: 1 << 63 is no long, and n of 0 must not shift by 64.
+    return F.when(n > 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - n)).otherwise(F.lit(0).cast("long"))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
