@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is set (tests)."""
+    """The folder that all executors share; one of its own is made only where none is set and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = context.get() if context.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="capsort-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +54,31 @@ def drop_tables(spark: SparkSession, tables: Iterable[DataFrame]) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bits of the bitmap of ``perhaps_in``: 2 MB, whatever the size of the tables.
+BITMAP = 1 << 24
+
+
+def perhaps_in(keys: DataFrame, name: str) -> Callable[[Column], Column] | None:
+    """A test of long columns that is true for all hashes in the column ``name``, and for few others; None if it would keep most.
+
+    For joins of wide rows with a set of hashes: rows that can't match are kept out of the exchange. The bitmap has a
+    fixed size, so beyond some millions of hashes there is None, and the join deals all rows.
+    """
+    place = F.pmod(F.col(name), F.lit(BITMAP)).alias("place")
+    words = keys.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(BITMAP // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    if 2 * int(np.bitwise_count(table.view(np.uint64)).sum()) > BITMAP:
+        return None
+    shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+    def hit(hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy(zero_copy_only=False) % BITMAP
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return F.arrow_udf(hit, "boolean")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

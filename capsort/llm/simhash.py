@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsort.llm.common import cut, drop_tables
+from capsort.llm.common import cut, drop_tables, perhaps_in
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Bit ranges (start, width) of the segments.
@@ -42,8 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts sampled for frequent shingles, share of them that makes one frequent, and most of these kept.
 SAMPLED, FREQUENT, MOST = 20_000, 0.0005, 50_000
-#: Least bits and segment recall of ``layout``.
-WIDE, RECALL = 1024, 0.97
+#: Sets that a task remembers to send their shingles once: sets the cost, never the result.
+REMEMBERED = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -157,21 +157,6 @@ def _classes(prints: DataFrame, bits: int) -> DataFrame:
     return cut(_rooted(nodes, links(nodes.select("fp"), bits)).withColumnRenamed("fp", "fp_"))
 
 
-def differing(similarity: float) -> float:
-    """Expected share of differing bits of two equally long texts with this Jaccard similarity of shingles."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
-    """(width of a segment, segments, 64-bit numbers of the fingerprint) for ``n`` documents."""
-    p = differing(similarity)
-    width = min(32, max(16, math.ceil(math.log2(max(n, 2)))))
-    agree = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    segments = math.ceil(math.log(1 - recall) / math.log(1 - agree))
-    per_long = 64 // width
-    return width, segments, max(WIDE // 64, -(-segments // per_long) + 1)
-
-
 def _rooted(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``nodes`` with the column root, the component by ``pairs``; itself if it has no pair."""
     roots = components(pairs)
@@ -183,6 +168,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a task holds at once is bounded by them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _least_common(size: int, share: float) -> int:
     return math.ceil(size * share - 1e-9)
 
@@ -208,10 +200,29 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Bits, as many as the least power of two that is no less than the set: whether it has an odd number of hashes there.
+
+    Two sets differ in at least as many hashes as bits.
+    """
+    bits = max(64, 1 << (max(1, len(own)) - 1).bit_length())
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which parities differ; the longer ones are folded once if they are twice as long, else 0 (nothing is known)."""
+    count = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    half = lambda u: F.zip_with(F.slice(u, F.lit(1), (F.size(u) / 2).cast("int")), F.slice(u, (F.size(u) / 2).cast("int") + 1, (F.size(u) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    twice = lambda u, v: F.size(u) == 2 * F.size(v)
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(twice(x, y), count(half(x), y)).when(twice(y, x), count(x, half(y))).otherwise(0)
+
+
 def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """doc_id, mark, fp (a hash of the set of shingles), size (of the set) and keys, its first shingles in the order.
+    """doc_id, mark, fp (a hash of the set of shingles), size (of the set), odd (its parities) and keys, its first shingles in the order.
 
-    The order is that of the hashes, with those of ``last`` after all others in the order given.
+    The order is that of the hashes, with those of ``last`` after all others in the order given. A set that a task has met
+    before gets null keys.
     """
     place = np.argsort(last)
     known = last[place]
@@ -225,56 +236,83 @@ def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> Da
         return own[np.argsort(rank, kind="stable")[:n]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owns = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
-            names = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0 for own in owns], np.uint64).view(np.int64)
-            keys = pa.array([first(own).view(np.int64) for own in owns], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(own) for own in owns], pa.int32()), keys], ["doc_id", "mark", "fp", "size", "keys"])
+        met: set[int] = set()
+        for batch in _slices(batches):
+            names, sizes, odd, keys = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                own = shingle_set(t, words)
+                name = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+                names.append(name)
+                sizes.append(len(own))
+                odd.append(parities(own))
+                keys.append(None if name in met else first(own).view(np.int64))
+                if len(met) < REMEMBERED:
+                    met.add(name)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "size", "odd", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long, size int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, size int, odd array<long>, keys array<long>")
 
 
-def whole_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node and own (its whole set) of the nodes ``named`` (node); one text of each is read again."""
+def whole_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and own (its whole set) of the nodes of ``pairs``; the text of one row of each is read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             own = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], ["node", "own"])
 
-    wanted = nodes.select("fp", F.col("head.mark").alias("mark_")).join(named, F.col("fp") == F.col("node")).select("node", "mark_")
-    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(wanted, F.col("mark") == F.col("mark_")).groupBy("node").agg(F.min("text").alias("text"))
-    return cut(texts.mapInArrow(run, "node long, own array<long>"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(named.join(nodes, F.col("node") == F.col("fp")).select("node", F.col("head.mark").alias("mark_"), F.col("head.doc_id").alias("id_")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    hit = perhaps_in(wanted, "mark_")
+    texts = (rows.filter(hit("mark")) if hit else rows).join(wanted, (F.col("mark") == F.col("mark_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text")
+    return texts.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+
 
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of sets those whose whole sets have this Jaccard similarity or more.
 
-def verified(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets have this Jaccard similarity or more."""
-    left, right = (own.select(F.col("node").alias(f"__{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
-    first = pairs.join(left, F.col("a") == F.col("__a")).select("a", "b", "own_a")
+    Two sets that similar differ in a bounded number of hashes, so in no more parities: most pairs go by that alone
+    and only the sets of the others are fetched.
+    """
+    first, second = (nodes.select(F.col("fp").alias(f"fp_{x}"), F.col("size").alias(f"size_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+    most = (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    left = pairs.join(first, F.col("a") == F.col("fp_a")).select("a", "b", "size_a", "odd_a")
+    close = cut(left.join(second, (F.col("b") == F.col("fp_b")) & (_differing(F.col("odd_a"), F.col("odd_b")) <= most)).select("a", "b"))
+    own = cut(whole_sets(close, nodes, docs, words))
+    left, right = (own.select(F.col("node").alias(f"node_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
     common = F.size(F.array_intersect("own_a", "own_b"))
     alike = common / (F.size("own_a") + F.size("own_b") - common) >= F.lit(similarity)
-    return first.join(right, (F.col("b") == F.col("__b")) & alike).select("a", "b")
+    found = cut(close.join(left, F.col("a") == F.col("node_a")).join(right, (F.col("b") == F.col("node_b")) & alike).select("a", "b"))
+    drop_tables(docs.sparkSession, [close, own])
+    return found
 
 
 def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs a < b of fp of ``nodes`` (fp, head, size, keys; fp distinct) with the components of all pairs that are similar.
+def shared_places(prints: DataFrame, similarity: float) -> DataFrame:
+    """fp, size, short, at (place in the order) and key: the first shingles of sets that another set has among its first."""
+    # One exchange of three longs a shingle: size and place go in one.
+    rows = prints.select("fp", "size", F.posexplode("keys").alias("at", "key")).select("key", "fp", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")).alias("where"))
+    near = Window.partitionBy("key")
+    common = rows.withColumns({"low": F.min("fp").over(near), "high": F.max("fp").over(near)}).filter("low != high").dropDuplicates(["key", "fp"])
+    size = F.shiftright("where", 32).cast("int")
+    short = size - F.ceil(size * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-9)) + 1
+    return common.select("fp", size.alias("size"), short.cast("int").alias("short"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "key")
+
+
+def similar_links(places: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs a < b of fp of ``nodes`` (fp, head, size, odd; fp distinct) with the components of all pairs that are similar.
 
     Of two sets the larger sends its first shingles to those of the smaller, which needs fewer. Shingles of one set
-    go first. Then each set is held against the least and the greatest of its place: a dense group becomes few
-    stars, linear in its size. Last, pairs of different stars are met: pairs within a star's component would
-    change no component.
+    go first. Then each set is held against the tip of each of its shingles, the set with the fewest rarer shingles there, which
+    of copies is the one with the fewest changes: a dense group becomes few stars, linear in its size. Last, pairs
+    of different stars are met: pairs within a star's component would change no component.
     """
     share = 2 * similarity / (1 + similarity)
-    short = F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-9)) + 1
-    rows = nodes.select("fp", "size", short.alias("short"), F.posexplode("keys").alias("at", "key"))
-    near = Window.partitionBy("key")
-    places = cut(rows.withColumns({"low": F.min("fp").over(near), "high": F.max("fp").over(near)}).filter("low != high"))
-    own = whole_sets(places.select(F.col("fp").alias("node")).distinct(), nodes, docs, words)
 
     def fits(x: str, y: str) -> Column:
         """At the first shingle that both sets hold, what is left of them can still make up the similarity."""
@@ -282,31 +320,37 @@ def similar_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: flo
         left = F.least(F.col(f"size_{x}") - F.col(f"at_{x}"), F.col(f"size_{y}") - F.col(f"at_{y}"))
         return left >= F.lit(share / 2) * total - F.lit(1e-6)
 
-    def side(x: str, *more: str) -> DataFrame:
-        return rooted.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "at", "key", "root", *more)])
+    def side(table: DataFrame, x: str, *more: str) -> DataFrame:
+        return table.select(F.col("fp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "at", "key", *more)])
 
-    tips = places.filter("fp = low OR fp = high").select(F.col("fp").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("key").alias("key_a"))
-    all_b = places.select(F.col("fp").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("key").alias("key_b"))
-    led = tips.join(all_b, (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & fits("a", "b"))
+    tips = places.groupBy("key").agg(F.min(F.struct("at", "size", "fp")).alias("tip")).select("key", "tip.*")
+    led = side(tips, "a").join(side(places, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & fits("a", "b"))
     tried = cut(_ordered(led))
-    stars = cut(verified(tried, own, similarity))
+    stars = verified(tried, nodes, docs, words, similarity)
 
-    roots = cut(_rooted(nodes.select("fp"), stars))
-    tied = places.drop("low", "high").join(roots.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_")).drop("fp_")
-    mixed = tied.groupBy(F.col("key").alias("key_")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key_")
-    rooted = cut(tied.join(mixed, F.col("key") == F.col("key_")).drop("key_"))
+    roots = _rooted(nodes.select("fp"), stars).withColumnRenamed("fp", "fp_")
+    rooted = cut(places.join(roots, F.col("fp") == F.col("fp_")).drop("fp_"))
+    mixed = rooted.groupBy(F.col("key").alias("key_")).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key_")
+    apart = cut(rooted.join(mixed, F.col("key") == F.col("key_")).drop("key_"))
+    drop_tables(docs.sparkSession, [rooted])
     later = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b")))
-    table = side("b", "short").filter("at_b < short_b")
-    met = side("a").join(table, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & later & fits("a", "b"))
-    fresh = cut(_ordered(met).join(tried, ["a", "b"], "left_anti"))
-    return stars.unionAll(verified(fresh, own, similarity))
+    table = side(apart, "b", "short", "root").filter("at_b < short_b")
+    met = side(apart, "a", "root").join(table, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & later & fits("a", "b"))
+    last = cut(_ordered(met).join(tried, ["a", "b"], "left_anti"))
+    drop_tables(docs.sparkSession, [apart, tried])
+    return stars.unionAll(verified(last, nodes, docs, words, similarity))
 
 
-def _similar_classes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, mark, fp) and the classes (fp_, head, root) of their sets of shingles."""
     prints = cut(sets(docs, words, similarity, frequent(docs, words)))
-    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("size").alias("size"), F.first("keys").alias("keys")))
+    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("size").alias("size"), F.first("odd").alias("odd")))
+    rows = cut(prints.select("doc_id", "mark", "fp"))
+    places = cut(shared_places(prints, similarity))
     drop_tables(docs.sparkSession, [prints])
-    return cut(_rooted(nodes.select("fp", "head"), similar_links(nodes, docs, words, similarity)).withColumnRenamed("fp", "fp_"))
+    found = similar_links(places, nodes, docs, words, similarity)
+    drop_tables(docs.sparkSession, [places])
+    return rows, cut(_rooted(nodes.select("fp", "head"), found).withColumnRenamed("fp", "fp_"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -326,8 +370,24 @@ def keep_representatives(docs: DataFrame, words: int = SHINGLE, similarity: floa
     The row is told by id and text, so rows of one id (or of none) in different groups are all kept; rows that repeat
     both count as one.
     """
-    named = _similar_classes(docs, words, similarity)
-    heads = named.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("__capsort_id"), F.col("head.mark").alias("__capsort_mark"))
+    rows, named = _similar_classes(docs, words, similarity)
+    heads = named.groupBy(F.col("root").alias("root_")).agg(F.min("head").alias("first"))
+    classes = named.join(heads, F.col("root") == F.col("root_")).select("fp_", "first")
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("mark") != F.col("first.mark"))
+    gone = cut(rows.join(classes, F.col("fp") == F.col("fp_")).filter(other).select(F.col("doc_id").alias("__capsort_id"), F.col("mark").alias("__capsort_mark")).distinct())
+    again = cut(rows.groupBy(F.col("doc_id").alias("__capsort_id"), F.col("mark").alias("__capsort_mark")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     marked = docs.withColumn("__capsort_text", F.xxhash64("text"))
-    same = marked["doc_id"].cast("long").eqNullSafe(heads["__capsort_id"]) & (marked["__capsort_text"] == heads["__capsort_mark"])
-    return marked.join(heads, same, "left_semi").dropDuplicates(["doc_id", "__capsort_text"]).drop("__capsort_text")
+
+    def row(table: DataFrame) -> Column:
+        return marked["doc_id"].cast("long").eqNullSafe(table["__capsort_id"]) & (marked["__capsort_text"] == table["__capsort_mark"])
+
+    if hit := perhaps_in(gone, "__capsort_mark"):
+        sure = ~hit("__capsort_text")
+        kept = marked.filter(sure).unionAll(marked.filter(~sure).join(gone, row(gone), "left_anti"))
+    else:
+        kept = marked.join(gone, row(gone), "left_anti")
+    if again.isEmpty():
+        return kept.drop("__capsort_text")
+    # Only rows that repeat an id and a text go through another exchange.
+    once = kept.join(again, row(again), "left_semi").dropDuplicates(["doc_id", "__capsort_text"])
+    return kept.join(again, row(again), "left_anti").unionAll(once).drop("__capsort_text")

@@ -139,13 +139,32 @@ def test_representatives_of_similar_texts(spark):
             texts.append(" ".join(w))
             sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)})
     kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    similar = [k for k in range(len(texts)) if any(alike(j, k) >= 0.8 for j in range(k - k % 4, k))]
-    assert sum(k in kept for k in similar) <= len(similar) // 50
-    unlike = [k for k in range(len(texts)) if all(alike(j, k) < 0.65 for j in range(k - k % 4, k))]
-    assert kept >= set(unlike) and len(unlike) >= 100
-    width, segments, longs = simhash.layout(10**9)
-    assert width == 30 and segments > 60 and (longs - 1) * (64 // width) >= segments
+    line = "one line that is repeated often in texts that share nothing else".split()
+    for k in range(6):  # a repeated line counts once: these texts are unlike, whatever their length
+        own = [f"u{k}x{j}" for j in range(200)]
+        texts.append(" ".join(own + line * 30))
+        sets.append({tuple((own + line * 30)[j : j + 5]) for j in range(len(own) + 30 * len(line) - 4)})
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(root) and 100 < len(kept) < 150
+
+
+def test_parities_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for size in (0, 1, 63, 64, 65, 500, 1023, 1025, 3000):
+        own = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        for changed in (0, 1, 40, size):
+            other = np.unique(np.concatenate((own[changed // 2 :], rng.integers(0, 2**63, changed, np.uint64))))
+            rows.append((len(want), simhash.parities(own).tolist(), simhash.parities(other).tolist()))
+            want.append(len(np.setxor1d(own, other)))
+    got = {r.k: r.n for r in spark.createDataFrame(rows, "k int, x array<long>, y array<long>").select("k", simhash._differing(F.col("x"), F.col("y")).alias("n")).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want)) and all(got[k] > 0 for k, n in enumerate(want) if n > 200)
 
 
 def kept_by_brute_force(texts):
