@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,21 +178,22 @@ def scan(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(test_suffixes([(r[0], r[1]) for r in own.collect()]))
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             hasher = Hasher()
             for texts in batches:
                 out, shard, size = [], [], 0
                 for t in texts:
-                    shard.append(normal(t))
+                    shard.append(normal(t.as_py()))
                     size += len(shard[-1])
                     if size >= SHARD:
                         out += search(shard, shared.value, hasher)
                         shard, size = [], 0
                 if shard:
                     out += search(shard, shared.value, hasher)
-                yield pd.DataFrame({"n_words": [n for n, _, _ in out], "hits": [h.astype(np.int32) for _, h, _ in out], "items": [x for _, _, x in out]})
+                parts = [pa.array([n for n, _, _ in out], pa.int64()), pa.array([h.astype(np.int32) for _, h, _ in out], pa.list_(pa.int32())), pa.array([x for _, _, x in out], pa.list_(pa.string()))]
+                yield pa.StructArray.from_arrays(parts, ["n_words", "hits", "items"])
 
-        return F.pandas_udf(run, STATE)(F.col("text"))
+        return F.arrow_udf(run, STATE)(F.col("text"))
 
     found = rows.withColumns({f"__capsort_hits{k}": column(k) for k in range(blocks)})
     names = [F.col(f"__capsort_hits{k}") for k in range(blocks)]

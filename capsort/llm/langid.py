@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,12 +119,16 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", prob: str = "
     """``docs`` with two more columns, predicted language and score. The model is bounded (see module)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
-            names, p = score(part.where(part.notna(), None).tolist(), shared.value)
-            yield pd.DataFrame({"lang": names, "p": p})
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            names, odds = [], []
+            for at in range(0, len(batch), 8 * BATCH):  # a part of the batch at a time: bounded memory
+                found, p = score(batch.slice(at, 8 * BATCH).to_pylist(), shared.value)
+                names += found
+                odds.append(p)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(odds) if odds else [], pa.float64())], ["lang", "p"])
 
-    udf = F.pandas_udf(run, "lang string, p double")
+    udf = F.arrow_udf(run, "lang string, p double")
     return docs.withColumn("__capsort_lang", udf(F.col("text"))).withColumns({lang: F.col("__capsort_lang.lang"), prob: F.col("__capsort_lang.p")}).drop("__capsort_lang")
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,11 +72,12 @@ def _node(docs: DataFrame, shards: int):
     points, _ = ring(shards)
     shared = docs.sparkSession.sparkContext.broadcast(points)
 
-    def run(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for h in hashes:
-            yield pd.Series(np.searchsorted(shared.value, h.to_numpy().view(np.uint64), "left") % len(shared.value), dtype="int32")
+            at = np.searchsorted(shared.value, h.to_numpy(zero_copy_only=False).view(np.uint64), "left")
+            yield pa.array((at % len(shared.value)).astype(np.int32))
 
-    return F.pandas_udf(run, "int")
+    return F.arrow_udf(run, "int")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
