@@ -119,9 +119,19 @@ def duplicate_representatives(spark, sf_dir):
     return quality.duplicate_losers(photo_view(spark, sf_dir), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SURVIVORS_SQL}, blurs AS (SELECT idx, COALESCE(NOT suppressed AND sharpness < raw, FALSE) AS blurred FROM survivors, valve),
+clear AS (SELECT s.idx, s.sharpness, s.near_hash, ROW_NUMBER() OVER (ORDER BY s.idx) - 1 AS place FROM survivors s JOIN blurs b ON b.idx = s.idx WHERE NOT blurred),
+fold(place, head, run) AS (SELECT place, near_hash, place FROM clear WHERE place = 0
+  UNION ALL
+  SELECT p.place, CASE WHEN BIT_COUNT(XOR(p.near_hash, f.head)) <= 4 THEN f.head ELSE p.near_hash END, CASE WHEN BIT_COUNT(XOR(p.near_hash, f.head)) <= 4 THEN f.run ELSE p.place END
+  FROM fold f JOIN clear p ON p.place = f.place + 1),
+best AS (SELECT c.idx, FIRST_VALUE(c.idx) OVER w AS keeper, BIT_COUNT(XOR(c.near_hash, FIRST_VALUE(c.near_hash) OVER w)) AS bits FROM fold f JOIN clear c ON c.place = f.place WINDOW w AS (PARTITION BY f.run ORDER BY c.sharpness DESC, c.idx))
+SELECT s.idx, s.relative_path, CASE WHEN s.reason IS NOT NULL THEN s.reason WHEN b.blurred THEN 'blur' WHEN d.idx <> d.keeper THEN 'duplicate' END AS reason,
+ROUND(CASE s.reason WHEN 'tooSmall' THEN GREATEST(pixel_width, pixel_height)::DOUBLE WHEN 'panorama' THEN GREATEST(pixel_width, pixel_height) / LEAST(pixel_width, pixel_height)::DOUBLE WHEN 'overexposed' THEN highlights WHEN 'underexposed' THEN shadows
+  ELSE CASE WHEN b.blurred THEN s.sharpness WHEN d.idx <> d.keeper THEN bits::DOUBLE END END, 6) AS score
+FROM shaped s LEFT JOIN blurs b ON b.idx = s.idx LEFT JOIN best d ON d.idx = s.idx""")
 def quality_outcome(spark, sf_dir):
-    return quality.quality_outcome(photo_view(spark, sf_dir), Q).select("idx", "relative_path", "reason", "score")
+    return quality.quality_outcome(photo_view(spark, sf_dir), Q).select("idx", "relative_path", "reason", *_six("score"))
 
 
 @query(f"WITH {SHAPE_SQL} SELECT reason, COUNT(*) AS n FROM shaped WHERE reason IS NOT NULL GROUP BY reason")
@@ -132,15 +142,19 @@ def excluded_by_reason(spark, sf_dir):
 TRUST_SQL = "(latitude IS NOT NULL AND COALESCE(accuracy <= 30, TRUE) AND COALESCE(ABS(t - fix_t) <= 120, TRUE))"
 
 
-@query(f"""WITH {PHOTOS} SELECT CAST(CASE WHEN COUNT(DISTINCT source_folder) > 1 THEN 1 ELSE 0 END AS DOUBLE) AS folder, AVG(CASE WHEN t IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS "time", 1.0::DOUBLE AS "sequence",
+COVERAGE_SQL = f"""SELECT CAST(CASE WHEN COUNT(DISTINCT source_folder) > 1 THEN 1 ELSE 0 END AS DOUBLE) AS folder, ROUND(COUNT(t) / COUNT(*), 6) AS "time", ROUND(COUNT(sequence_number) / COUNT(*), 6) AS "sequence",
 ROUND(AVG(CASE WHEN {TRUST_SQL} THEN 1.0::DOUBLE ELSE 0 END), 6) AS gps, ROUND(AVG(CASE WHEN {TRUST_SQL} AND altitude IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS altitude,
-1.0::DOUBLE AS heading, 1.0::DOUBLE AS exposure, 1.0::DOUBLE AS visual FROM photos""")
+ROUND(COUNT(heading) / COUNT(*), 6) AS heading, ROUND(COUNT(exposure_value) / COUNT(*), 6) AS exposure, ROUND(COUNT(fingerprint) / COUNT(*), 6) AS visual FROM photos"""
+
+
+@query(f"WITH {PHOTOS} {COVERAGE_SQL}")
 def evidence_coverage(spark, sf_dir):
     c = pairs.coverage(photo_view(spark, sf_dir), G)
     return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
 
 
-@query()
+@query(f"""WITH {PHOTOS}, c AS ({COVERAGE_SQL}) SELECT kind FROM (UNPIVOT c ON folder, "time", "sequence", gps, altitude, heading, exposure, visual INTO NAME kind VALUE share)
+WHERE share >= 0.5 AND NOT (kind = 'sequence' AND (SELECT "time" >= 0.5 FROM c))""")
 def usable_evidence(spark, sf_dir):
     row = pairs.coverage(photo_view(spark, sf_dir), G).first().asDict()
     return spark.createDataFrame([(k,) for k in sorted(pairs.usable(row, G))], "kind string")
@@ -254,13 +268,12 @@ def shared_photos(spark, sf_dir):
     return sorting.shared_photos(p, graph.link_candidates(_by_folder(p), edges), SortRequest().planner)
 
 
-@query(f"""WITH {PHOTOS}, own AS (SELECT * FROM photos WHERE idx % 10 = 0) SELECT a.source_folder, ROUND(GREATEST(LEAST(1.0::DOUBLE, AVG(BIT_COUNT(XOR(a.fingerprint, b.fingerprint)) / 64.0::DOUBLE) / 0.35::DOUBLE),
+@query(f"""WITH {PHOTOS} SELECT a.source_folder, ROUND(GREATEST(LEAST(1.0::DOUBLE, AVG(BIT_COUNT(XOR(a.fingerprint, b.fingerprint)) / 64.0::DOUBLE) / 0.35::DOUBLE),
 LEAST(1.0::DOUBLE, MAX(CASE WHEN ABS(a.heading - b.heading) % 360 > 180 THEN 360 - ABS(a.heading - b.heading) % 360 ELSE ABS(a.heading - b.heading) % 360 END) / 90)), 6) AS spread
-FROM own a JOIN own b ON a.source_folder = b.source_folder AND a.idx < b.idx GROUP BY 1""")
+FROM photos a JOIN photos b ON a.source_folder = b.source_folder AND a.idx < b.idx GROUP BY 1""")
 def viewpoint_spread(spark, sf_dir):
     p = photo_view(spark, sf_dir)
-    chosen = p.filter("idx % 10 = 0").select("source_folder", "idx")
-    return sorting.viewpoint_spread(chosen, p, "source_folder").select("source_folder", *_six("spread"))
+    return sorting.viewpoint_spread(p.select("source_folder", "idx"), p, "source_folder").select("source_folder", *_six("spread"))
 
 
 @query(f"WITH {PHOTOS} SELECT source_folder, MIN(t) AS capture_start, MAX(t) AS capture_end, COUNT(*) AS n FROM photos GROUP BY 1")
@@ -274,15 +287,8 @@ def diagnostics_equipment(spark, sf_dir):
     return a.select("lenses", "n_focal", "cameras", ((F.col("lenses") > 1) & (F.col("n_focal") >= F.floor(F.col("total") / 2))).alias("mixed_focal"), (F.col("cameras") > 1).alias("mixed_camera"))
 
 
-_SORTED: dict[tuple[int, str], sorting.Sorted] = {}
-
-
 def _sorted(spark: SparkSession, sf_dir: str) -> sorting.Sorted:
-    key = (id(spark), sf_dir)
-    if key not in _SORTED:
-        _SORTED.clear()
-        _SORTED[key] = sorting.sort_photos(photo_view(spark, sf_dir), SortRequest())
-    return _SORTED[key]
+    return sorting.sort_photos(photo_view(spark, sf_dir), SortRequest())
 
 
 @query()
@@ -305,10 +311,16 @@ def placements(spark, sf_dir):
     return sorting.placements(_sorted(spark, sf_dir))
 
 
-@query("WITH g AS (SELECT vec_id, label, LEAD(label) OVER (ORDER BY vec_id) AS after FROM embeddings WHERE vec_id < 20) SELECT CAST(COUNT(*) AS INTEGER) AS n FROM (SELECT label FROM g WHERE after IS NULL)")
-def islands_chain(spark, sf_dir):
-    # A chain of groups is one island.
-    return spark.createDataFrame([(graph.islands(list(range(20)), [(k, k + 1) for k in range(19)]),)], "n int")
+@query(f"""WITH RECURSIVE {LINK_SQL}, sure AS (SELECT a, b FROM links WHERE confidence > (SELECT AVG(confidence) FROM links)),
+ties AS (SELECT a, b FROM sure UNION SELECT b, a FROM sure), reach(g, r) AS (SELECT position, position FROM grouped UNION SELECT t.b, reach.r FROM reach JOIN ties t ON t.a = reach.g)
+SELECT CAST(COUNT(DISTINCT root) AS INTEGER) AS n FROM (SELECT g, MIN(r) AS root FROM reach GROUP BY g)""")
+def link_islands(spark, sf_dir):
+    """Connected sets of folders under links that are surer than the mean."""
+    p, edges = _edges(spark, sf_dir)
+    found = graph.links(_by_folder(p), edges).collect()  # one row a pair of groups
+    mean = sum(r.confidence for r in found) / max(1, len(found))
+    groups = [r.position for r in _by_folder(p).select("position").distinct().collect()]
+    return spark.createDataFrame([(graph.islands(groups, [(r.a, r.b) for r in found if r.confidence > mean]),)], "n int")
 
 
 def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +330,11 @@ def _gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.unhex(tiled).alias("gray"), F.lit(16).alias("w"), F.lit(8).alias("h"))
 
 
-@query()
+@query("""WITH px AS (SELECT vec_id, LIST_TRANSFORM(embedding, LAMBDA x: CAST(GREATEST(0, LEAST(255, FLOOR(x * 64 + 128))) AS BIGINT)) AS q FROM embeddings), g AS (SELECT vec_id, LIST_CONCAT(q, q) AS p FROM px),
+lap AS (SELECT vec_id, VAR_POP(p[c - 16] + p[c + 16] + p[c - 1] + p[c + 1] - 4 * p[c]) AS v FROM (SELECT vec_id, p, y * 16 + x + 1 AS c FROM g, RANGE(1, 7) a(y), RANGE(1, 15) b(x)) GROUP BY vec_id),
+cells AS (SELECT vec_id, y, k, CAST(FLOOR(LIST_AVG(p[y * 16 + k * 16 // 9 + 1 : y * 16 + (k + 1) * 16 // 9])) AS BIGINT) AS v FROM g, RANGE(8) a(y), RANGE(9) b(k)),
+bits AS (SELECT vec_id, SUM(CASE WHEN l.v > r.v THEN CAST(1 AS HUGEINT) << CAST(63 - (y * 8 + l.k) AS INTEGER) ELSE CAST(0 AS HUGEINT) END) AS h FROM cells l JOIN cells r USING (vec_id, y) WHERE r.k = l.k + 1 GROUP BY vec_id)
+SELECT vec_id, ROUND(v, 6) AS laplacian, CAST(h - CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) AS dhash FROM lap JOIN bits USING (vec_id)""")
 def raster_statistics(spark, sf_dir):
     g = _gray(spark, sf_dir)
     args = (F.col("gray"), F.col("w"), F.col("h"))
@@ -339,19 +355,20 @@ def point_cloud_size(spark, sf_dir):
     return pointcloud.packed(points).agg(F.sum(F.octet_length("chunk")).alias("body_bytes"), (F.sum(F.octet_length("chunk")) / 16).cast("long").alias("n"))
 
 
-#: A small feed: five releases, of which three are channels.
-FEED = """[{"tag_name":"dev-zoo","prerelease":true,"target_commitish":"0123456789abcdef","body":"branch=feature/zoo\\ncommit=89abcdef0123","assets":[{"name":"other.zip","browser_download_url":"u0"},{"name":"app.zip","browser_download_url":"u1"}]},
-{"tag_name":"stable","name":"Stable","prerelease":false,"target_commitish":"fedcba9876543210","body":"built=2024-05-01","assets":[{"name":"app.zip","browser_download_url":"u2"}]},
-{"tag_name":"v1.0","prerelease":false,"body":"","assets":[{"name":"app.zip","browser_download_url":"u3"}]},
-{"tag_name":"dev-none","prerelease":true,"assets":[]},
-{"tag_name":"dev-ant","prerelease":true,"target_commitish":"aaaabbbbcccc","assets":[{"name":"app.zip","browser_download_url":"u4"}]}]"""
-
-
-@query("""SELECT * FROM (VALUES ('main', 'stable', FALSE, 'fedcba9', 'u2', 'Stable', '2024-05-01', 0, TRUE), ('ant', 'dev-ant', TRUE, 'aaaabbb', 'u4', 'dev-ant', NULL, 1, FALSE), ('feature/zoo', 'dev-zoo', TRUE, '89abcde', 'u1', 'dev-zoo', NULL, 1, TRUE))
-t(branch, tag, is_prerelease, "commit", asset_url, title, built_at, place, available)""")
+@query("""WITH r AS (SELECT n_nationkey AS k, LOWER(n_name) AS name, MD5(n_name) AS target FROM nation)
+SELECT CASE WHEN k = 4 THEN 'main' WHEN k % 3 = 0 THEN 'feature/' || name ELSE name END AS branch, CASE WHEN k = 4 THEN 'stable' ELSE 'dev-' || name END AS tag, k <> 4 AS is_prerelease,
+LEFT(CASE WHEN k % 3 = 0 THEN MD5(name) ELSE target END, 7) AS "commit", 'u' || k AS asset_url, CASE WHEN k % 2 = 0 THEN 'Title ' || name ELSE CASE WHEN k = 4 THEN 'stable' ELSE 'dev-' || name END END AS title,
+CASE WHEN k % 4 = 0 THEN '2024-05-' || (k + 1) END AS built_at, CASE WHEN k = 4 THEN 0 ELSE 1 END AS place, LEFT(CASE WHEN k % 3 = 0 THEN MD5(name) ELSE target END, 7) <> LEFT(MD5('CHINA'), 7) AS available FROM r WHERE k % 5 <> 0 AND k % 7 <> 6""")
 def release_feed(spark, sf_dir):
-    found = feed.channels(spark.createDataFrame([(FEED,)], "json string"), "app.zip")
-    return found.withColumn("available", feed.update_available(F.lit("aaaabbb0"), F.col("commit")))
+    k, name = F.col("n_nationkey"), F.lower("n_name")
+    tag = F.when(k == 4, "stable").when(k % 5 == 0, F.concat(F.lit("v1."), k.cast("string"))).otherwise(F.concat(F.lit("dev-"), name))
+    lines = F.array_compact(F.array(F.lit("a note"), F.when(k % 3 == 0, F.concat(F.lit("branch=feature/"), name)), F.when(k % 3 == 0, F.concat(F.lit("commit="), F.md5(name.cast("binary")))), F.when(k % 4 == 0, F.concat(F.lit("built=2024-05-"), (k + 1).cast("string")))))
+    asset = lambda n, u: F.struct(F.lit(n).alias("name"), u.alias("browser_download_url"))
+    url = F.concat(F.lit("u"), k.cast("string"))
+    assets = F.when(k % 7 == 6, F.array(asset("other.zip", url))).otherwise(F.array(asset("other.zip", F.lit("no")), asset("app.zip", url)))
+    release = F.struct(tag.alias("tag_name"), F.when(k % 2 == 0, F.concat(F.lit("Title "), name)).alias("name"), (k != 4).alias("prerelease"), F.md5(F.col("n_name").cast("binary")).alias("target_commitish"), F.array_join(lines, "\r\n").alias("body"), assets.alias("assets"))
+    feeds = read(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(release)).alias("json"))
+    return feed.channels(feeds, "app.zip").withColumn("available", feed.update_available(F.md5(F.lit("CHINA").cast("binary")), F.col("commit")))
 
 
 LINES_SQL = """lines AS (SELECT event_id, user_id AS run_id, CASE event_id % 9 WHEN 0 THEN 'progress=' || (event_id % 101) / 100.0 WHEN 1 THEN ' stage=meshGeneration ' WHEN 2 THEN 'stage=unknown' WHEN 3 THEN 'eta=' || (event_id % 50)
@@ -417,7 +434,10 @@ def critical_density_table(spark, sf_dir):
     return simulate.density_table(spark, [100, 500, 1000, 2000], [2, 4, 6, 10, 20], 0.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHAIN_SQL}, steps AS (SELECT component, position, GREATEST(LEAD(position) OVER w, MAX(position) OVER (PARTITION BY component ORDER BY position RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS ahead
+  FROM site WHERE valid WINDOW w AS (PARTITION BY component ORDER BY position)),
+kept(component, position, n) AS (SELECT component, MIN(position), 1 FROM steps GROUP BY component UNION ALL SELECT s.component, s.ahead, k.n + 1 FROM kept k JOIN steps s ON s.component = k.component AND s.position = k.position WHERE s.ahead > s.position AND k.n < 50)
+SELECT component, position FROM kept""")
 def anchor_thinning(spark, sf_dir):
     return simulate.thinned(_site(spark, sf_dir).filter("valid").select("component", "position"), 4, 50)
 
@@ -467,9 +487,17 @@ def shown_names(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(k, "label", texts.named(at(texts.EVIDENCE, 8), texts.EVIDENCE).alias("evidence"), texts.named(at(texts.REASONS, 7), texts.REASONS).alias("reason"), texts.branch_name(branch).alias("branch"), texts.fix_time(F.lit("2024:01:01"), clock).alias("fix"))
 
 
-@query("SELECT COUNT(*) FILTER (url ILIKE '%.jpg' OR url ILIKE '%.png') AS images, COUNT(*) FILTER (url ILIKE '%.icloud') AS placeholders, FALSE AS cloud FROM pages")
+PLACES = ("/Users/a/Pictures/", "/Users/a/Library/Mobile Documents/", "/Volumes/GoogleDrive/", "/Volumes/Disk/")
+ENDINGS = (".JPG", ".png", ".heic", ".icloud", ".txt")
+
+
+@query(f"""WITH files AS (SELECT vec_id, {list(PLACES)}[label % 4 + 1] || 'x' || vec_id || {list(ENDINGS)}[vec_id % 5 + 1] AS path, label % 4 AS k FROM embeddings)
+SELECT CAST(k AS INTEGER) AS folder, COUNT(*) FILTER (vec_id % 5 < 3) AS images, COUNT(*) FILTER (path LIKE '%.icloud') AS placeholders, BOOL_OR(path LIKE '%/Library/Mobile Documents/%' OR path LIKE '%/GoogleDrive/%') AS cloud FROM files GROUP BY k""")
 def folder_summary(spark, sf_dir):
-    return images.folder_summary(read(spark, sf_dir, "pages").select(F.regexp_replace("url", r"\.(jpeg|heic|heif|tiff|tif|bmp|dng)$", ".x").alias("path")))
+    at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    path = F.concat(at(PLACES, F.col("label")), F.lit("x"), F.col("vec_id").cast("string"), at(ENDINGS, F.col("vec_id")))
+    files = read(spark, sf_dir, "embeddings").select((F.col("label") % 4).cast("int").alias("folder"), path.alias("path"))
+    return images.folder_summary(files, "folder")
 
 
 # Generic relational forms.
@@ -495,10 +523,10 @@ for _how, _sql in (("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")):
     query(f"SELECT o_orderkey, o_custkey FROM orders o WHERE {_sql} (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 0)")(_f)
 
 
-@query("""SELECT l_orderkey, l_linenumber, e.event_id FROM lineitem l ASOF LEFT JOIN (SELECT MAX(event_id) AS event_id, ts FROM events GROUP BY ts) e ON l.l_shipdate >= e.ts WHERE l_quantity > 45""")
+@query("""SELECT l_orderkey, l_linenumber, e.event_id FROM lineitem l ASOF LEFT JOIN (SELECT MAX(event_id) AS event_id, ts FROM events GROUP BY ts) e ON l.l_shipdate >= e.ts""")
 def join_as_of(spark, sf_dir):
     """The latest event at or before each shipment, over a union in time order, per day with carried day ends."""
-    left = read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("side"))
+    left = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("at"), "l_orderkey", "l_linenumber", F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("side"))
     right = read(spark, sf_dir, "events").groupBy("ts").agg(F.max("event_id").alias("event_id")).select(F.col("ts").alias("at"), F.lit(None).cast("long").alias("l_orderkey"), F.lit(None).cast("int").alias("l_linenumber"), "event_id", F.lit(0).alias("side"))
     days = right.groupBy(F.to_date("at").alias("day")).agg(F.max_by("event_id", "at").alias("last"))
     both = left.unionByName(right).withColumn("day", F.to_date("at"))
@@ -533,10 +561,10 @@ def window_functions(spark, sf_dir):
 
 for _name, _sql, _op in (("union", "UNION", lambda a, b: a.union(b).distinct()), ("intersect", "INTERSECT", lambda a, b: a.intersect(b)), ("except", "EXCEPT", lambda a, b: a.subtract(b))):
     def _f(spark, sf_dir, op=_op):
-        return op(read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, sf_dir, "supplier").select("s_nationkey"))
+        return op(read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, sf_dir, "supplier").filter("s_acctbal > 0 AND s_nationkey % 3 > 0").select("s_nationkey"))
 
     _f.__name__ = f"set_{_name}"
-    query(f"SELECT c_nationkey AS nation FROM customer {_sql} SELECT s_nationkey FROM supplier")(_f)
+    query(f"SELECT c_nationkey AS nation FROM customer {_sql} SELECT s_nationkey FROM supplier WHERE s_acctbal > 0 AND s_nationkey % 3 > 0")(_f)
 
 
 @query("""SELECT event_type, DATE_TRUNC('hour', ts) AS start, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2""")

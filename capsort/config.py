@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 #: Evidence kinds in order, with default weights.
@@ -88,3 +89,22 @@ class SortRequest:
     @property
     def planner(self) -> PlannerSettings:
         return PlannerSettings(overlap=self.overlap)
+
+
+@dataclass(frozen=True)
+class ReconstructionRequest:
+    """What a reconstruction is asked for; checked before anything is started."""
+
+    input_folder: str
+    model_file: str | None = None
+    point_cloud_file: str | None = None
+
+    def validate(self, is_folder=os.path.isdir) -> ReconstructionRequest:
+        if not is_folder(self.input_folder):
+            raise ValueError(f"not a folder: {self.input_folder}")
+        if self.model_file is None and self.point_cloud_file is None:
+            raise ValueError("no output: give a model file or a point cloud file")
+        for path, ending in ((self.model_file, ".usdz"), (self.point_cloud_file, ".ply")):
+            if path is not None and not path.lower().endswith(ending):
+                raise ValueError(f"{path}: must end in {ending}")
+        return self

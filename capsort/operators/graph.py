@@ -14,10 +14,12 @@ from capsort.operators.stats import otsu, percentile
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names; a local one only where none is set."""
+    """Cut lineage in the shared folder the cluster names; one of its own only where none is set and all runs in one process."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="capsort-checkpoint-"))
     return df.checkpoint()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from capsort.config import QualitySettings
 from capsort.functions import columns as C
 from capsort.operators.stats import otsu
+from capsort.sources.photos import dense_index
 
 #: Reasons in order, with their display names.
 REASONS = {"blur": "blurred", "overexposed": "overexposed", "underexposed": "underexposed", "tooSmall": "too small", "panorama": "panorama", "duplicate": "near duplicate", "unreadable": "unreadable"}
@@ -92,7 +93,11 @@ def run_heads(photos: DataFrame, distance: int, hash_col: str = "near_hash") ->
 
 def duplicate_losers(photos: DataFrame, distance: int, hash_col: str = "near_hash") -> DataFrame:
     """(idx, run, keeper, score): photos that lose to the sharpest of their run (first of equals), with their distance to it."""
-    runs = run_heads(photos, distance, hash_col).join(photos.select("idx", F.coalesce("sharpness", F.lit(0.0)).alias("sharp"), F.col(hash_col).alias("h")), "idx")
+    rows = photos.select("idx", F.coalesce("sharpness", F.lit(0.0)).alias("sharp"), F.col(hash_col).alias("h"))
+    # Photos dropped before leave gaps in idx; those on both sides of a gap are neighbours.
+    rows = dense_index(rows, F.shiftright("idx", 16), F.col("idx"), name="place")
+    heads = run_heads(rows.select(F.col("place").alias("idx"), "h"), distance, "h").withColumnRenamed("idx", "place_")
+    runs = rows.join(heads, F.col("place") == F.col("place_")).withColumn("run", F.min("idx").over(Window.partitionBy("run")))
     best = Window.partitionBy("run").orderBy(F.desc("sharp"), "idx")
     named = runs.withColumn("keeper", F.first("idx").over(best)).withColumn("keeper_h", F.first("h").over(best))
     return named.filter("idx <> keeper").select("idx", "run", "keeper", C.hamming_or_zero(F.col("h"), F.col("keeper_h")).alias("score"))

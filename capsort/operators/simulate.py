@@ -42,6 +42,19 @@ def outcome(chosen: DataFrame, k: int, q: float, least: int, mode: str) -> DataF
     return best.join(F.broadcast(second)).join(F.broadcast(size)).filter((F.col("n") >= least) & rule).drop("second", "size")
 
 
+def component_sizes(spec: str | None, n: int) -> tuple[int, ...]:
+    """Sizes of components: listed ones (``600,400``, which must add up to ``n``), or ``n`` dealt to so many, the rest to the first."""
+    if spec is None:
+        return (n,)
+    if "," in spec:
+        sizes = tuple(int(x) for x in spec.split(",") if x.strip())
+        if sum(sizes) != n:
+            raise ValueError(f"sizes add up to {sum(sizes)}, not {n}")
+        return sizes
+    k = int(spec)
+    return (n // k + n % k, *[n // k] * (k - 1))
+
+
 def chunks(photos: DataFrame, size: int) -> DataFrame:
     order = Window.partitionBy("component").orderBy("position")
     return photos.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))

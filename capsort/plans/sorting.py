@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capsort.config import PlannerSettings, SortRequest
@@ -91,18 +91,32 @@ def shared_photos(photos: DataFrame, candidates: DataFrame, settings: PlannerSet
 
 
 def viewpoint_spread(selected: DataFrame, photos: DataFrame, *keys: str) -> DataFrame:
-    """(keys, spread): the larger of mean hash distance over 0.35 and widest angle over 90, each at most 1."""
+    """(keys, spread): the larger of mean hash distance over 0.35 and widest angle over 90, each at most 1.
+
+    Over all pairs of a group without making one: bits that differ are counted bit by bit (photos with the bit times those
+    without), and a heading's widest angle is the one to its nearest neighbour of the opposite direction. Only distinct
+    headings of a group meet in a window.
+    """
     own = selected.select(*keys, "idx").join(photos.select("idx", "heading", "fingerprint"), "idx")
-    other = own.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("idx").alias("idx_"), F.col("heading").alias("heading_"), F.col("fingerprint").alias("fingerprint_"))
-    same = F.col("idx") < F.col("idx_")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"{k}_"))
-    both = own.join(other, same)
-    mean = F.avg(C.hamming_share(F.col("fingerprint"), F.col("fingerprint_"))) / SPREAD_REFERENCE
-    widest = F.max(C.angle(F.col("heading"), F.col("heading_"))) / 90
+    bit = lambda k: F.count_if(F.shiftright("fingerprint", k).bitwiseAND(F.lit(1)) == 1)
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.count("fingerprint").alias("m"), F.array(*[bit(k) for k in range(64)]).alias("ones"))
+    unequal = F.aggregate("ones", F.lit(0).cast("long"), lambda n, c: n + c * (F.col("m") - c))
+    mean = F.when(F.col("m") > 1, unequal / (F.col("m") * (F.col("m") - 1) / 2) / 64.0 / SPREAD_REFERENCE)
+
+    turned = own.filter("heading IS NOT NULL").select(*keys, (F.pmod(F.col("heading"), F.lit(360.0))).alias("at"))
+    known = turned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    points = turned.distinct()
+    marks = points.select(*keys, "at", F.col("at").alias("own")).unionAll(points.select(*keys, F.pmod(F.col("at") + 180.0, F.lit(360.0)).alias("at"), F.lit(None).cast("double").alias("own")))
+    order = Window.partitionBy(*keys).orderBy("at")
+    # Equal places are peers of a range frame, so a heading that is exactly opposite is seen.
+    near = marks.select(*keys, "at", "own", F.last("own", True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("below"), F.first("own", True).over(order.rangeBetween(0, Window.unboundedFollowing)).alias("above")).filter("own IS NULL")
+    facing = near.join(known.withColumnsRenamed({k: f"{k}_" for k in keys}), [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    gap = F.least(*[C.angle(F.coalesce(F.col(x), F.col(y)), F.col("at")) for x, y in (("below", "last"), ("above", "first"))])
+    widest = facing.groupBy(*keys).agg(F.max(F.when(F.col("n") > 1, 180 - gap) / 90).alias("widest")).withColumnsRenamed({k: f"{k}_" for k in keys})
     # least and greatest skip nulls, so each side is capped only where it is known.
     cap = lambda c: F.when(c.isNotNull(), F.least(F.lit(1.0), c))
-    return both.groupBy(*keys).agg(F.greatest(cap(mean), cap(widest)).alias("spread"))
+    both = counts.filter("members > 1").join(widest, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], "left")
+    return both.select(*keys, F.greatest(cap(mean), cap(F.col("widest"))).alias("spread"))
 
 
 def group_photos(photos: DataFrame, request: SortRequest) -> tuple:
@@ -119,10 +133,13 @@ def group_photos(photos: DataFrame, request: SortRequest) -> tuple:
     return edges, graph.checkpointed(graph.final_groups(parts, edges, settings)), threshold, used, seen
 
 
-def sort_photos(photos: DataFrame, request: SortRequest, hash_col: str = "near_hash") -> Sorted:
-    """Everything but the sink: lazy tables plus group-level facts."""
+def sort_photos(photos: DataFrame, request: SortRequest, hash_col: str = "near_hash", unreadable: DataFrame | None = None) -> Sorted:
+    """Everything but the sink: lazy tables plus group-level facts. Files of ``unreadable`` (relative_path) are excluded with score 0."""
     request.validate()
-    outcome = graph.checkpointed(quality.quality_outcome(photos, request.quality, hash_col))
+    outcome = quality.quality_outcome(photos, request.quality, hash_col)
+    if unreadable is not None:
+        outcome = outcome.unionByName(unreadable.select("relative_path", F.lit("unreadable").alias("reason"), F.lit(0.0).alias("score")), allowMissingColumns=True)
+    outcome = graph.checkpointed(outcome)
     from capsort.sources.photos import capture_order
 
     kept = graph.checkpointed(capture_order(outcome.filter("reason IS NULL").drop("idx", "reason", "score")))
@@ -202,27 +219,67 @@ def diagnose(s: Sorted, request: SortRequest) -> list[tuple[str, str, str]]:
     return out
 
 
-def manifest(s: Sorted, request: SortRequest, source: str, generated_at: str) -> str:
-    """Versioned JSON with sorted keys; group lists hold relative paths."""
+def placement_total(s: Sorted) -> int:
+    """Files that will be placed: photos of all groups, shared ones in each, excluded and unassigned ones."""
+    return plan_rows(s).count() + s.outcome.filter("reason IS NOT NULL").count() + s.groups.filter("position IS NULL").count()
+
+
+def manifest_facts(s: Sorted, request: SortRequest, source: str, generated_at: str) -> dict:
+    """What the manifest says about groups as wholes: no list of photos but those that links share (``overlap`` a link)."""
+    survivors = s.outcome.filter("reason IS NULL OR reason IN ('blur', 'duplicate')")
+    sharp, median, _ = quality.blur_threshold(survivors, request.quality)
+    reasons = {r.reason: r["n"] for r in s.outcome.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = s.photos.select("idx", "relative_path")
-    groups = plan_rows(s).join(names, "idx").groupBy("group_id").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("shared"), F.col("relative_path")))).alias("photos"), F.array_sort(F.collect_list(F.when(F.col("shared"), F.col("relative_path")))).alias("shared"))
-    excluded = s.outcome.filter("reason IS NOT NULL").select("relative_path", "reason", "score").orderBy("relative_path").collect()
-    lost = s.groups.filter("position IS NULL").join(names, "idx").select("relative_path").orderBy("relative_path").collect()
-    body = {
+    spreads = {(r.a, r.b): r.spread for r in viewpoint_spread(s.shared, s.photos, "a", "b").collect()}
+    between = {(r.a, r.b): list(r.paths) for r in s.shared.join(names, "idx").groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "relative_path"))), lambda x: x["relative_path"]).alias("paths")).collect()}
+    n_in, n_kept = s.outcome.count(), s.outcome.filter("reason IS NULL").count()
+    return {
         "version": 1, "generatedAt": generated_at, "source": source,
-        "settings": {k: v for k, v in request.__dict__.items() if v is not None},
+        "settings": {
+            "overlap": request.overlap, "maxPerGroup": request.max_per_group, "minPerGroup": request.min_per_group, "timeGap": request.time_gap, "groupThreshold": s.threshold,
+            "groupThresholdWasAutomatic": request.group_threshold is None, "sharpnessThreshold": sharp, "duplicateDistance": request.duplicate_distance, "link": request.link,
+        },
         "evidence": {"used": [k for k in request.grouping.weights if k in s.used], "coverage": s.coverage},
-        "statistics": {"threshold": s.threshold, "histogram": s.histogram},
-        "groups": [{"id": r.group_id, "photos": list(r.photos), "shared": list(r.shared)} for r in groups.orderBy("group_id").collect()],
-        "adjacency": [{"a": f"group-{a + 1:02d}", "b": f"group-{b + 1:02d}", "confidence": c} for a, b, c in s.links],
-        "excluded": [{"photo": r.relative_path, "reason": r.reason, "score": r.score} for r in excluded],
-        "unassigned": [r.relative_path for r in lost],
+        "statistics": {"inputCount": n_in, "keptCount": n_kept, "groupCount": s.groups.filter("position IS NOT NULL").select("position").distinct().count(), "excludedByReason": reasons, "scoreHistogram": s.histogram, "sharpnessMedian": median},
+        "adjacency": [{"a": f"group-{a + 1:02d}", "b": f"group-{b + 1:02d}", "confidence": c, "sharedPhotos": between.get((a, b), []), "viewpointSpread": spreads.get((a, b))} for a, b, c in s.links],
         "diagnostics": [{"severity": a, "code": b, "message": c} for a, b, c in diagnose(s, request)],
     }
+
+
+def manifest_rows(s: Sorted) -> DataFrame:
+    """(section, name, body): one row a group, excluded photo and unassigned photo, body as JSON; write it anywhere, of any size."""
+    names = s.photos.select("idx", "relative_path")
+    paths = plan_rows(s).join(names, "idx").groupBy("group_id").agg(F.array_sort(F.collect_list("relative_path")).alias("photos"), F.array_sort(F.collect_list(F.when(F.col("shared"), F.col("relative_path")))).alias("shared"))
+    when = lambda c: F.date_format(F.timestamp_seconds(F.floor(c)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    times = capture_ranges(s).select("group_id", when(F.col("capture_start")).alias("captureStart"), when(F.col("capture_end")).alias("captureEnd"))
+    groups = paths.join(times, "group_id", "left").withColumn("evidence", F.array(*[F.lit(k) for k in sorted(s.used)]).cast("array<string>"))
+    group = F.struct(F.col("group_id").alias("id"), "photos", "shared", "evidence", "captureStart", "captureEnd")
+    excluded = F.struct(F.col("relative_path").alias("photo"), "reason", "score")
+    return (
+        groups.select(F.lit("groups").alias("section"), F.col("group_id").alias("name"), F.to_json(group).alias("body"))
+        .unionAll(s.outcome.filter("reason IS NOT NULL").select(F.lit("excluded"), "relative_path", F.to_json(excluded)))
+        .unionAll(s.groups.filter("position IS NULL").join(names, "idx").select(F.lit("unassigned"), "relative_path", F.to_json(F.struct("relative_path"))))
+    )
+
+
+def manifest(s: Sorted, request: SortRequest, source: str, generated_at: str) -> str:
+    """One JSON document with sorted keys. It holds every path once or more, so only for sets whose list one file can hold; else ``manifest_rows``."""
+    body: dict = manifest_facts(s, request, source, generated_at) | {"groups": [], "excluded": [], "unassigned": []}
+    for r in manifest_rows(s).orderBy("section", "name").toLocalIterator():
+        own = json.loads(r.body)
+        body[r.section].append(own["relative_path"] if r.section == "unassigned" else own)
     return json.dumps(body, sort_keys=True, indent=2, ensure_ascii=False)
 
 
+def read_manifest(spark: SparkSession, text: str) -> tuple[dict, DataFrame]:
+    """A manifest read back: its facts, and (group_id, relative_path, shared) of its groups. Other versions are an error."""
+    body = json.loads(text)
+    if body.get("version") != 1:
+        raise ValueError(f"manifest version {body.get('version')!r} is not known")
+    rows = [(g["id"], p, p in set(g["shared"])) for g in body["groups"] for p in g["photos"]]
+    return {k: v for k, v in body.items() if k not in ("groups", "excluded", "unassigned")}, spark.createDataFrame(rows, "group_id string, relative_path string, shared boolean")
+
+
 def placements(s: Sorted) -> DataFrame:
     """(bucket, relative_path, file_name): where each photo goes; write it with ``partitionBy('bucket')``."""
     flat = C.flat_name(F.col("relative_path"))

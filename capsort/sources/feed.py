@@ -30,3 +30,8 @@ def update_available(installed: Column, commit: Column) -> Column:
     seven = lambda c: F.left(c, F.lit(7))
     unknown = installed.isNull() | (installed == "") | (installed == "unknown")
     return unknown | F.coalesce(seven(installed) != seven(commit), F.lit(True))
+
+
+def channel(named: str, found: DataFrame) -> DataFrame:
+    """The first channel of a branch, in the order of channels; no row if there is none."""
+    return found.filter(F.col("branch") == named).orderBy("place", "branch", "tag").limit(1)

@@ -38,11 +38,11 @@ def select_images(files: DataFrame, folder: str, output: str | None = None) -> D
     return rows.withColumn("source_folder", C.parent_folder(F.col("relative_path"))).drop("plain")
 
 
-def folder_summary(files: DataFrame) -> DataFrame:
-    """images, placeholders and whether any path is in a cloud folder."""
+def folder_summary(files: DataFrame, *keys: str) -> DataFrame:
+    """images, placeholders and whether any path is in a cloud folder, of all files or by ``keys``."""
     stub = C.extension(F.col("path")) == "icloud"
     cloud = is_cloud_path(F.col("path"))
-    return files.agg(F.count_if(is_image(F.col("path"))).alias("images"), F.count_if(stub).alias("placeholders"), F.coalesce(F.bool_or(cloud), F.lit(False)).alias("cloud"))
+    return files.groupBy(*keys).agg(F.count_if(is_image(F.col("path"))).alias("images"), F.count_if(stub).alias("placeholders"), F.coalesce(F.bool_or(cloud), F.lit(False)).alias("cloud"))
 
 
 def stale(files: DataFrame, now: Column, age_hours: int = 24) -> DataFrame:

@@ -18,6 +18,13 @@ from capsort.streaming import events
 
 DATA = "/root/testdata/sf0.001"
 
+#: A small feed: five releases, of which three are channels.
+FEED = """[{"tag_name":"dev-zoo","prerelease":true,"target_commitish":"0123456789abcdef","body":"branch=feature/zoo\\ncommit=89abcdef0123","assets":[{"name":"other.zip","browser_download_url":"u0"},{"name":"app.zip","browser_download_url":"u1"}]},
+{"tag_name":"stable","name":"Stable","prerelease":false,"target_commitish":"fedcba9876543210","body":"built=2024-05-01","assets":[{"name":"app.zip","browser_download_url":"u2"}]},
+{"tag_name":"v1.0","prerelease":false,"body":"","assets":[{"name":"app.zip","browser_download_url":"u3"}]},
+{"tag_name":"dev-none","prerelease":true,"assets":[]},
+{"tag_name":"dev-ant","prerelease":true,"target_commitish":"aaaabbbbcccc","assets":[{"name":"app.zip","browser_download_url":"u4"}]}]"""
+
 
 def photo(spark, rows):
     """Synthetic photos: (offset s, hash, heading, sharpness)."""
@@ -136,7 +143,7 @@ def test_stream_decodes_files(spark, tmp_path):
 
 
 def test_feed_and_scan(spark):
-    found = feed.channels(spark.createDataFrame([(catalogue.FEED,)], "json string"), "app.zip").orderBy("place", "branch")
+    found = feed.channels(spark.createDataFrame([(FEED,)], "json string"), "app.zip").orderBy("place", "branch")
     assert [r.tag for r in found.collect()] == ["stable", "dev-ant", "dev-zoo"]
     files = spark.createDataFrame([("/in/a/x.JPG",), ("/in/group-01/y.jpg",), ("/in/.z.jpg",), ("/in/out/q.png",), ("/in/n.txt",)], "plain string").withColumn("path", F.col("plain"))
     assert [r.relative_path for r in images.select_images(files, "/in", "/in/out").collect()] == ["a/x.JPG"]
@@ -238,3 +245,116 @@ def test_catalogue_matches_oracle(spark, name):
     found = con.sql(catalogue.ORACLES[name])
     want = sorted([repr([tidy(r[found.columns.index(c)]) for c in cols]) for r in found.fetchall()])
     assert sorted(repr([tidy(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+def test_thermometer_levels(spark):
+    rows = [(float(x),) for x in (-1, 0, 1, 62, 63, 64, 100, 1e30)] + [(62.9,), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(C.thermometer(F.col("x"))).collect()]
+    assert got[:9] == [0, 0, 1, 2**62 - 1, 2**63 - 1, 2**63 - 1, 2**63 - 1, 2**63 - 1, 2**62 - 1]
+
+
+def bmp(path, seed, w=900, h=820):
+    """A 24-bit bitmap of random blocks."""
+    import struct
+
+    rng = np.random.default_rng(seed)
+    rows = np.kron(rng.integers(0, 256, (h // 20, w // 20, 3), np.uint8), np.ones((20, 20, 1), np.uint8))
+    body = b"".join(r.tobytes() + b"\0" * (-w * 3 % 4) for r in rows[::-1])
+    with open(path, "wb") as f:
+        f.write(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0) + body)
+    return rows
+
+
+def tagged(date, lat):
+    """The head of a file with an EXIF block: date, offset, a position and a sub-second."""
+    import struct
+
+    texts = {0x9003: date, 0x9011: "+09:00", 0x9291: "25"}
+    body, extra = b"", b""
+    entries = [(0x0112, 3, 1, struct.pack("<HH", 6, 0)), (0x8769, 4, 1, None), (0x8825, 4, 1, None)]
+    base = 8 + 2 + 12 * len(entries) + 4
+    exif, gps = [], []
+    at = base + 2 + 12 * len(texts) + 4
+    for tag, text in sorted(texts.items()):
+        raw = text.encode() + b"\0"
+        exif.append(struct.pack("<HHI", tag, 2, len(raw)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + len(extra))))
+        extra += raw if len(raw) > 4 else b""
+    first = struct.pack("<H", len(exif)) + b"".join(exif) + b"\0" * 4 + extra
+    gps_at = base + len(first)
+    data = gps_at + 2 + 12 * 4 + 4
+    degrees = struct.pack("<IIIIII", lat, 1, 30, 1, 0, 1)
+    gps = [struct.pack("<HHI", 1, 2, 2) + b"S\0\0\0", struct.pack("<HHII", 2, 5, 3, data), struct.pack("<HHI", 3, 2, 2) + b"E\0\0\0", struct.pack("<HHII", 4, 5, 3, data)]
+    second = struct.pack("<H", 4) + b"".join(gps) + b"\0" * 4 + degrees
+    main = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 3)
+    for tag, kind, n, raw in entries:
+        main += struct.pack("<HHI", tag, kind, n) + (raw or struct.pack("<I", base if tag == 0x8769 else gps_at))
+    return b"\xff\xd8\xff\xe1\0\0Exif\0\0" + main + b"\0" * 4 + first + second + body
+
+
+def test_read_and_sort_a_folder(spark, tmp_path):
+    from capsort import __main__ as cli
+    from capsort.sources import reader
+
+    folder = tmp_path / "in"
+    (folder / "a").mkdir(parents=True)
+    for k in range(12):
+        bmp(folder / "a" / f"IMG_{k:04d}.BMP", k)
+    (folder / "b.jpg").write_bytes(tagged("2024:05:01 12:00:00", 35))
+    (folder / "empty.png").write_bytes(b"")
+    (folder / "text.heic").write_bytes(b"no image")
+    (folder / ".hidden.jpg").write_bytes(b"")
+    photos, lost = reader.read_photos(spark, str(folder))
+    rows = {r.relative_path: r for r in photos.collect()}
+    assert sorted(r.relative_path for r in lost.collect()) == ["empty.png", "text.heic"] and len(rows) == 13
+    one = rows["b.jpg"]
+    assert one.t == 1714532400.25 and one.latitude == -35.5 and one.longitude == 35.5 and one.sharpness is None and one.fix_t is None and one.idx == 0
+    pixels = rows["a/IMG_0003.BMP"]
+    want = bmp(tmp_path / "x.bmp", 3)
+    gray = reader.gray_image(np.ascontiguousarray(want).tobytes(), 820, 900, 3)
+    assert (pixels.pixel_width, pixels.pixel_height, pixels.sequence_number, pixels.source_folder) == (900, 820, 3, "a")
+    assert pixels.sharpness == raster.laplacian_variance(gray) and pixels.fingerprint == raster.difference_hash(gray)
+    said = []
+    out = tmp_path / "out"
+    args = ["sort", str(folder), str(out), "--link", "copy", "--min-per-group", "1"]
+    total = cli.sort(spark, command.from_arguments(args), said.append)
+    files = [p for p in out.rglob("*") if p.is_file() and p.name != "manifest.json"]
+    assert total == len(files) >= 15 and sorted(p.name for p in (out / "_excluded" / "unreadable").iterdir()) == ["empty.png", "text.heic"]
+    facts, groups = sorting.read_manifest(spark, (out / "manifest.json").read_text())
+    assert facts["statistics"]["inputCount"] == 15 and facts["statistics"]["excludedByReason"]["unreadable"] == 2 and facts["settings"]["groupThresholdWasAutomatic"]
+    assert groups.count() == sum(p.parent.name.startswith("group-") for p in files)
+    assert cli.main([]) == 2 and cli.main(["--help"]) == 0 and cli.main(["sort", "x"]) == 2 and cli.main(["sort", str(tmp_path / "none"), str(out)], spark) == 1
+
+
+def test_requests_and_specs(spark, tmp_path):
+    from capsort.config import ReconstructionRequest
+
+    assert simulate.component_sizes(None, 7) == (7,) and simulate.component_sizes("3", 10) == (4, 3, 3) and simulate.component_sizes("6,4", 10) == (6, 4)
+    with pytest.raises(ValueError):
+        simulate.component_sizes("6,5", 10)
+    here = str(tmp_path)
+    ReconstructionRequest(here, "a.USDZ", "b.ply").validate()
+    for bad in (ReconstructionRequest(here), ReconstructionRequest(here + "/no", "a.usdz"), ReconstructionRequest(here, "a.obj"), ReconstructionRequest(here, None, "a.xyz")):
+        with pytest.raises(ValueError):
+            bad.validate()
+    found = feed.channels(spark.createDataFrame([('[{"tag_name":"dev-a","assets":[{"name":"x","browser_download_url":"u"}]}]',)], "json string"), "x")
+    assert feed.channel("a", found).count() == 1 and feed.channel("b", found).count() == 0
+
+
+def test_viewpoint_spread_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(6):
+        for k in range((1, 2, 3, 12, 30, 5)[g]):
+            rows.append((g, len(rows), None if rng.random() < 0.2 else float(rng.choice([0, 90, 180, 270, rng.integers(0, 3600) / 10])), None if rng.random() < 0.2 else int(rng.integers(-(2**63), 2**63))))
+    p = spark.createDataFrame(rows, "g int, idx long, heading double, fingerprint long")
+    got = {r.g: r.spread for r in sorting.viewpoint_spread(p.select("g", "idx"), p, "g").collect()}
+    want = {}
+    for g in range(6):
+        own = [r for r in rows if r[0] == g]
+        both = [(a, b) for i, a in enumerate(own) for b in own[:i]]
+        if both:
+            bits = [((a[3] ^ b[3]) & (1 << 64) - 1).bit_count() / 64 for a, b in both if a[3] is not None and b[3] is not None]
+            turns = [min(abs(a[2] - b[2]) % 360, 360 - abs(a[2] - b[2]) % 360) for a, b in both if a[2] is not None and b[2] is not None]
+            parts = ([min(1, sum(bits) / len(bits) / 0.35)] if bits else []) + ([min(1, max(turns) / 90)] if turns else [])
+            want[g] = max(parts) if parts else None
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
