@@ -376,6 +376,29 @@ def test_top_k(spark):
     assert whole == parts == brute
 
 
+def test_top_k_of_large_components_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(v) for v in rng.normal(0, 1, 6) * 10.0 ** (k % 4 * 9)]) for k in range(200)] + [(200, [3e30] * 6), (201, [-3e30] * 6), (202, [1e307] * 6), (203, [1.0] * 6), (203, [1.0] * 6), (250, [1.0] * 6)]
+    schema = "vec_id long, embedding array<double>"
+    used = [(i, [int(x) for x in np.floor(np.array(v) * 256)]) for i, v in rows if i != 202]
+    want = []
+    for i, q in dict((i, q) for i, q in used if i % 50 == 0).items():
+        best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in used if j != i)[:5]
+        want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    assert sorted(map(tuple, topk.top_k(table).collect())) == sorted(want)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 200)  # several blocks, one after the other
+    assert sorted(map(tuple, topk.top_k(table).collect())) == sorted(want)
+    assert topk.top_k(table.limit(0)).count() == 0
+
+
+def test_pivots_eliminate(spark):
+    x = np.floor(np.random.default_rng(4).normal(0, 0.125, (4000, 64)) * 256)
+    found, evaluated = topk.best_of(np.arange(20), x[:20], np.arange(4000), x, 5, x[-48:])
+    brute = [sorted(((int(x[i] @ x[j]), j) for j in range(4000) if j != i), key=lambda t: (-t[0], t[1]))[:5] for i in range(20)]
+    assert found == brute and evaluated < 0.1 * 20 * 4000
+
+
 def test_pipeline(spark, tmp_path, rows):
     good = [r for r in rows if r[0] is not None]
     spark.createDataFrame(good, DOCS).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
