@@ -59,21 +59,25 @@ class Pivots:
         values, vectors = np.linalg.eigh(pivots @ pivots.T) if len(pivots) and np.isfinite(self.norms).all() else (np.zeros(0), np.zeros((len(pivots), 0)))
         keep = values > 1e-6 * values.max(initial=0.0)
         self.base = vectors[:, keep] / np.sqrt(values[keep])
+        self.rounding = 1e-14 * max(1, len(pivots)) * float(np.sqrt((self.base * self.base).sum()))
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         """The table: distances of rows to the pivots."""
         return np.sqrt(np.maximum((x * x).sum(1)[:, None] + self.norms[None] - 2 * x @ self.pivots.T, 0))
 
-    def places(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, distances from the space (at most so small), and how far rounding may have moved a place."""
         norms = (x * x).sum(1)
         inner = (norms[:, None] + self.norms[None] - table * table) / 2
         place = inner @ self.base
-        return place, np.sqrt(np.maximum(norms - (place * place).sum(1), 0))
+        moved = self.rounding * (norms + self.norms.max(initial=0.0))
+        return place, np.sqrt(np.maximum(norms - (place * place).sum(1), 0) + (2 * np.sqrt(norms) + moved) * moved), moved
 
     def bounds(self, q: tuple, x: tuple, norms_q: np.ndarray, norms_x: np.ndarray) -> np.ndarray:
         """Upper bounds of all products of two sets of rows, from their places."""
         size = np.sqrt(norms_q)[:, None] * np.sqrt(norms_x)[None]
-        most = q[0] @ x[0].T + q[1][:, None] * x[1][None] + 1.0 + 1e-6 * size
+        moved = np.sqrt(norms_q)[:, None] * x[2][None] + q[2][:, None] * (np.sqrt(norms_x) + x[2])[None]
+        most = q[0] @ x[0].T + q[1][:, None] * x[1][None] + moved + 1.0 + 1e-6 * size
         return np.nan_to_num(np.minimum(most, size * (1 + 1e-9) + 1.0), nan=np.inf, posinf=np.inf, neginf=np.inf)
 
 
@@ -93,7 +97,7 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
         rows = max(1, CELLS // max(1, len(x)))
         for start in range(0, len(q), rows):
             own = slice(start, start + rows)
-            bounds = space.bounds((at_q[0][own], at_q[1][own]), at_x, norms_q[own], norms_x)
+            bounds = space.bounds(tuple(c[own] for c in at_q), at_x, norms_q[own], norms_x)
             for i, bound in enumerate(bounds, start):
                 best = list(known[i]) if known else []
                 done = np.zeros(len(x), bool)
