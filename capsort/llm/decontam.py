@@ -3,8 +3,10 @@
 Documents are taken in shards of about ``SHARD`` bytes. Each shard gets a suffix array: its word positions,
 sorted by the hashes of the next four words (an order of words as good as any for equality search). Every
 test suffix is binary-searched in every shard; its range holds all places that share four words with it, and
-these are extended word by word to a whole window, not past it. A match of a whole window (10 words, or the
-item if shorter) marks the document's words. Word hashes only find candidates: matches are verified on bytes.
+these are extended word by word to a whole window (10 words, or the item if shorter). Word hashes only find candidates:
+windows are verified on bytes. Windows that follow each other in item and document are one match, so the longest verbatim
+matches and their locations come out at once, however long; a document's words inside a match are hit. Of an item's
+matches in a document those inside a longer one are left out.
 
 The test items are a stated query set: they are broadcast in blocks of at most ``BLOCK`` bytes of text, one
 column of results per block, so the work per task stays bounded however many items there are. The documents
@@ -30,7 +32,7 @@ SHARD = 2_000_000
 BLOCK = 16_000_000
 DEPTH = 4
 BASE = 0x9E3779B97F4A7C15 | 1
-STATE = "n_words long, hits array<int>, items array<string>"
+STATE = "n_words long, hits array<int>, items array<string>, matches array<struct<item:string,first:int,words:int,at:int>>"
 
 
 def _keep(b: int) -> int:
@@ -88,7 +90,7 @@ def keys(h: np.ndarray) -> np.ndarray:
 def test_suffixes(items: list[tuple[object, str | None]]) -> dict:
     """All suffixes of the items that still hold a window: word hashes, search ranges and bytes."""
     hasher, texts = Hasher(), sorted({(str(i) if i is not None else None, normal(t)) for i, t in items}, key=str)
-    words, owner, start, need, ids = [], [], [], [], []
+    words, owner, start, need, ids, bases = [], [], [], [], [], []
     hashes = [np.zeros(0, np.uint64)]
     base = 0
     for name, data in texts:
@@ -102,7 +104,8 @@ def test_suffixes(items: list[tuple[object, str | None]]) -> dict:
         start += range(base, base + n)
         owner += [len(ids)] * n
         need += [window] * n
-        ids.append((name, base + len(own)))
+        ids.append(name)
+        bases.append(base)
         base += len(own)
     h = np.concatenate(hashes)
     start, need = np.array(start, np.int64), np.array(need, np.int64)
@@ -110,18 +113,40 @@ def test_suffixes(items: list[tuple[object, str | None]]) -> dict:
     free = np.uint64(16) * (DEPTH - np.minimum(need, DEPTH)).astype(np.uint64)
     mask = (np.uint64(1) << free) - np.uint64(1)
     # Only distinct windows need a search, but each item that has the window is listed.
-    return {"h": h, "words": words, "start": start, "need": need, "owner": np.array(owner, np.int64), "ids": [i for i, _ in ids], "low": low & ~mask, "high": low | mask}
+    return {"h": h, "words": words, "start": start, "need": need, "owner": np.array(owner, np.int64), "ids": ids, "base": bases, "low": low & ~mask, "high": low | mask}
+
+
+def joined(windows: list[tuple[int, int, int]], need: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """Longest matches (item, first word in the document, words, first word in the item) of windows (item, place in the item less that in the document, place in the document).
+
+    Windows of one item that follow each other on one diagonal are one match; matches inside another of the same item go.
+    """
+    runs: list[list[int]] = []
+    for item, diagonal, place in sorted(windows):
+        if runs and runs[-1][0] == item and runs[-1][1] == diagonal and runs[-1][3] == place - 1:
+            runs[-1][3] = place
+        else:
+            runs.append([item, diagonal, place, place])
+    out, last, end = [], None, -1
+    for item, first, stop, diagonal in sorted((i, a, -(b + need[i]), d) for i, d, a, b in runs):
+        if item != last:
+            last, end = item, -1
+        if -stop > end:
+            end = -stop
+            out.append((item, first, end - first, first + diagonal))
+    return out
 
 
-def search(docs: list[bytes], tests: dict, hasher: Hasher) -> list[tuple[int, np.ndarray, list[str]]]:
-    """Of each document of one shard: its number of words, hit word positions, and items found."""
+def search(docs: list[bytes], tests: dict, hasher: Hasher) -> list[tuple[int, np.ndarray, list[str], list[dict]]]:
+    """Of each document of one shard: its number of words, hit word positions, items found, and longest matches."""
     data = b" \x01 ".join(docs)
     starts, ends, h = hasher.words(data)
     raw = np.frombuffer(data, np.uint8)
     fence = np.flatnonzero((raw[starts] == 1) & (ends - starts == 1)) if len(starts) else np.zeros(0, np.int64)
     first = np.concatenate(([0], fence + 1))
     n_words = np.diff(np.concatenate((first, [len(h) + 1]))) - 1
-    found: list[set[str]] = [set() for _ in docs]
+    found: list[set[tuple[int, int, int]]] = [set() for _ in docs]
+    needs: dict[int, int] = {}
     mark = np.zeros(len(h) + 1, np.int64)
     if len(tests["start"]) and len(h):
         key = keys(h)
@@ -148,27 +173,22 @@ def search(docs: list[bytes], tests: dict, hasher: Hasher) -> list[tuple[int, np
                 if data[starts[p] : ends[p + n - 1]].split() == tests["words"][s : s + n]:
                     mark[p] += 1
                     mark[p + n] -= 1
-                    if (name := tests["ids"][tests["owner"][w]]) is not None:
-                        found[k].add(name)
+                    item = int(tests["owner"][w])
+                    needs[item] = n
+                    found[k].add((item, s - tests["base"][item] - p + int(first[k]), p - int(first[k])))
     hit = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
     cuts = np.searchsorted(hit, first)
     parts = np.split(hit, cuts[1:])
-    return [(int(n), p - f, sorted(x)) for n, p, f, x in zip(n_words, parts, first, found, strict=True)]
-
-
-def longest_matches(text: str | None, items: list[tuple[object, str | None]]) -> list[tuple[str, int, int]]:
-    """(item, first word, words) of each maximal run of hit words of one text, per item; for reports."""
     out = []
-    for i, t in items:
-        (_, hit, _), = search([normal(text)], test_suffixes([(i, t)]), Hasher())
-        for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-            if len(run):
-                out.append((str(i), int(run[0]), len(run)))
+    for n, p, f, x in zip(n_words, parts, first, found, strict=True):
+        names = {tests["ids"][item] for item, _, _ in x} - {None}
+        matches = [{"item": tests["ids"][item], "first": a, "words": size, "at": at} for item, a, size, at in joined(list(x), needs)]
+        out.append((int(n), p - f, sorted(names), matches))
     return out
 
 
 def scan(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``rows`` with a struct column ``__capsort_hits``: n_words, hit word positions, item ids as text."""
+    """``rows`` with a struct column ``__capsort_hits``: n_words, hit word positions, item ids as text, and longest matches."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK) + 1
@@ -190,17 +210,19 @@ def scan(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
                         shard, size = [], 0
                 if shard:
                     out += search(shard, shared.value, hasher)
-                parts = [pa.array([n for n, _, _ in out], pa.int64()), pa.array([h.astype(np.int32) for _, h, _ in out], pa.list_(pa.int32())), pa.array([x for _, _, x in out], pa.list_(pa.string()))]
-                yield pa.StructArray.from_arrays(parts, ["n_words", "hits", "items"])
+                match = pa.struct([("item", pa.string()), ("first", pa.int32()), ("words", pa.int32()), ("at", pa.int32())])
+                types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(match)]
+                columns = [[x[0] for x in out], [x[1].astype(np.int32) for x in out], [x[2] for x in out], [x[3] for x in out]]
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["n_words", "hits", "items", "matches"])
 
         return F.arrow_udf(run, STATE)(F.col("text"))
 
     found = rows.withColumns({f"__capsort_hits{k}": column(k) for k in range(blocks)})
     names = [F.col(f"__capsort_hits{k}") for k in range(blocks)]
-    hits, ids = names[0]["hits"], names[0]["items"]
+    hits, ids, matches = names[0]["hits"], names[0]["items"], F.concat(*[c["matches"] for c in names])
     for c in names[1:]:
         hits, ids = F.array_union(hits, c["hits"]), F.array_union(ids, c["items"])
-    return found.withColumn("__capsort_hits", F.struct(names[0]["n_words"].alias("n_words"), hits.alias("hits"), ids.alias("items"))).drop(*[f"__capsort_hits{k}" for k in range(blocks)])
+    return found.withColumn("__capsort_hits", F.struct(names[0]["n_words"].alias("n_words"), hits.alias("hits"), ids.alias("items"), matches.alias("matches"))).drop(*[f"__capsort_hits{k}" for k in range(blocks)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,6 +234,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", c["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id (as text), first_word and item_word (places of the match in both, from 0) and words, one row a match."""
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).select("doc_id", F.explode("__capsort_hits.matches").alias("m"))
+    return found.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.first").alias("first_word"), F.col("m.words").alias("words"), F.col("m.at").alias("item_word"))
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the affected documents."""
     return scan(docs, benchmark).filter(F.size("__capsort_hits.hits") == 0).drop("__capsort_hits")
