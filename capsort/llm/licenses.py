@@ -1,19 +1,22 @@
 """License scans by a trained paragraph classifier, scored with DataFrame functions only.
 
-Texts are cut into paragraphs at line feeds. A paragraph that holds a cue word, or ``SHARE`` of the words of any
-notice, is cut into words and word pairs; without the latter no prediction can be confirmed, so no family is lost. A
-sparse logistic regression over the licence families gives each family a probability. The model is trained on the
-driver from short notices written here (fixed values) with words dropped and changed, against texts of no family that
-use the same words. Its vocabulary is bounded by these notices, so it is a literal map in the plan.
-
-The unknown class is calibrated on texts of no family only: these are left out in turn from training, and the
-threshold is the lowest probability at which at most ``MISS`` of what belongs to no family passes. A prediction is
-confirmed if the paragraph holds at least ``SHARE`` of the words of one of the family's notices.
-
-All is row-local: no shuffle, no explode, no Python. Result per document: doc_id, n_paragraphs (not
-blank), n_notices (paragraphs classified as a licence, unknown ones too), families (sorted, comma-joined, confirmed only), top_family
-(most probable confirmed one; ties to the first in order), score (its probability), n_unknown
-(licences of no confirmed family, among the paragraphs that are scored).
+Texts are cut at blank lines into paragraphs; a paragraph of several lines is scored as a whole (a wrapped notice) and
+line by line (a notice among other lines). Each is the set of its words and word pairs. A sparse logistic regression over the
+licence families gives each family its odds against no licence. The model is trained on the driver from notices
+written here (fixed values) with words dropped and added, against texts of no family that use the same words. Grams made of
+words that the texts of no family use too are no features, so a text without a vocabulary word has the intercept's
+score, under which no family can be found: it is not scored further, and nothing is lost by that (``train`` checks it).
+
+The unknown class is calibrated: texts of no family and each family in turn are left out of training, and the threshold is the
+lowest probability at which at most ``MISS`` of what the model has not seen passes as a family that the template
+comparison confirms. That comparison needs ``SHARE`` of the words of one of the family's notices, or as large a share of the
+paragraph's own words in one, and the words that tell the family from its relatives (``TELLING``). What is likelier a licence than
+none but is confirmed for no family is an unknown licence.
+
+All is row-local: no shuffle, no explode, no Python. Result per document: doc_id, n_paragraphs (not blank), n_notices
+(paragraphs that state a licence, unknown ones too), families (sorted, comma-joined, confirmed only; a paragraph can
+state several), top_family (most probable confirmed one; ties to the first in order), score (its probability),
+n_unknown (paragraphs that state an unknown licence only).
 
 Defined cases: a null or empty text has no paragraphs and null top_family, score 0. Repeated rows give repeated results. Long texts
 are read whole. Extra columns are not read.
@@ -22,7 +25,6 @@ are read whole. Extra columns are not read.
 from __future__ import annotations
 
 import json
-import math
 import re
 
 import numpy as np
@@ -31,28 +33,56 @@ from pyspark.sql import functions as F
 
 #: Notices by which documents state their licence, by family.
 NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "This file is licensed to you under the Apache License, Version 2.0 (the License)", "SPDX-License-Identifier: Apache-2.0", "Distributed under the terms of the Apache 2.0 license"],
-    "BSD": ["Released under the BSD License", "This code is licensed under the 3-clause BSD license", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CC0": ["Licensed under CC0 1.0", "To the extent possible under law the author has waived all copyright and related rights to this work under CC0", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL v2 or later"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "Released under the LGPL"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-or-later", "Released under the AGPL v3",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Distributed under the terms of the Apache 2.0 license", "Available under the Apache 2.0 terms", "MIT OR Apache-2.0",
+                   "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. Apache"],
+    "BSD": ["Released under the BSD License", "This code is licensed under the 3-clause BSD license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0", "Text is available under CC BY 4.0", "Lizenziert unter CC BY 4.0", "Publicado bajo licencia CC BY 4.0", "Sous licence CC BY 4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0", "Text is available under CC BY-NC 4.0", "Lizenziert unter CC BY-NC 4.0", "Publicado bajo licencia CC BY-NC 4.0"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under CC BY-SA 4.0", "Lizenziert unter CC BY-SA 4.0", "Publicado bajo licencia CC BY-SA 4.0"],
+    "CC0": ["Licensed under CC0 1.0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work under CC0", "SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"],
+    "EPL": ["Licensed under the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GPL v2 or later", "Released under GPLv3",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "ISC": ["Released under the ISC License", "SPDX-License-Identifier: ISC", "Licensed under the ISC license", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "Released under the LGPL",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT license", "SPDX-License-Identifier: MIT", "MIT OR Apache-2.0", "Dual licensed under MIT or another license",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Public-Domain": ["This work is in the public domain", "Released into the public domain", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense", "Placed in the public domain by its author"],
+}
+#: Words that tell a family from its relatives: any of these sets, and none of those words.
+TELLING = {
+    "AGPL": (["agpl", "agpl 3.0", "affero"], []), "Apache-2.0": (["apache"], []), "BSD": (["bsd", "redistribution source binary", "neither endorse promote"], []),
+    "CC-BY": (["cc by", "creative commons attribution"], ["nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives"]), "CC-BY-NC": (["cc by nc", "creative commons noncommercial"], []),
+    "CC-BY-ND": (["cc by nd", "creative commons noderivatives"], []), "CC-BY-SA": (["cc by sa", "creative commons sharealike"], ["nc", "noncommercial"]), "CC0": (["cc0"], []), "EPL": (["eclipse", "epl"], []),
+    "GPL": (["gpl", "gplv3", "gplv2", "gnu general public"], ["lesser", "affero"]), "ISC": (["isc", "permission use any purpose fee"], []), "LGPL": (["lgpl", "lesser general public"], []),
+    "MIT": (["mit", "permission granted free charge", "copyright notice substantial portions"], []), "MPL": (["mpl", "mozilla"], []), "Public-Domain": (["public domain", "unlicense"], ["cc0", "not"]),
 }
-#: Texts that speak of licences but state none of these families.
+#: Texts that speak of licences, or share their words, but state none of these families.
 OTHERS = [
-    "All rights reserved. No license is granted", "This software is proprietary and its license is not transferable", "Licensed under the terms of a commercial agreement",
+    "All rights reserved. No license is granted", "This software is proprietary and its license is not transferable", "The dog slept under the table", "The report was released and published at last, available in all shops",
     "Copyright of the respective owners", "A driving license is needed for this job", "The license fee is due each year", "Please read the license agreement before use",
-    "Released under a custom license, version 1", "The committee gave permission to build", "Licensed by the state in which they work", "Permission to enter is given at the gate",
+    "Version 1 of the identifier", "The committee gave permission to build", "Licensed by the state in which they work", "Permission to enter is given at the gate",
     "The public library is open", "Version 2.0 of the general report", "Creative work by the common people", "Copyright 2020 by the authors", "Contact us about a license",
+    "The eclipse of the sun was seen in public", "Neighboring rights of the land and the domain name", "Students at MIT use the software for any purpose", "They may modify the notice and publish it, with or without a fee",
+    "Free of charge for all persons, including children", "The source of the river and its forms", "International conditions of the market are met", "Products derived from milk are distributed in the file of shops",
+    "You can obtain a copy of the work at the desk", "The following names are permitted, either now or later", "The author placed the materials in the library",
+    # Licences of other families, and ways to say that there is none.
+    "Licensed under the European Union Public Licence 1.2", "Licensed under the terms of a commercial agreement", "Released under a custom license, version 1", "Licensed under the Foo License", "Licensed under the Artistic License, Version 2.0", "Released under the zlib License", "SPDX-License-Identifier: WTFPL", "Licensed under the Open Software License 3.0",
+    "This file is under the Academic Free License version 3.0", "Licensed under the Business Source License 1.1", "SPDX-License-Identifier: BUSL-1.1", "Released under the Microsoft Public License",
 ]
-#: A paragraph with any of these words is scored even if it is like no notice: it may state an unknown licence.
-CUE = r"(?i)(?<![\p{L}\p{N}])(licen[cs]ed?|licen[cs]es|copyright|permission|gpl|lgpl|spdx|cc0|redistribute)(?![\p{L}\p{N}])"
+#: Of ``OTHERS``, those from here on state a licence that is no family: likelier a licence than none is right for them.
+FOREIGN = OTHERS.index("Licensed under the European Union Public Licence 1.2")
 TOKEN = r"[a-z0-9.]*[a-z0-9]"
-COPIES, ROUNDS, MISS, SHARE = 12, 400, 0.02, 0.6
+COPIES, ROUNDS, MISS, SHARE = 10, 300, 0.02, 0.6
 
 
 def tokens(text: str) -> list[str]:
@@ -64,9 +94,10 @@ def grams(words: list[str]) -> set[str]:
 
 
 def _examples(rng: np.random.Generator) -> list[tuple[set[str], int, int]]:
-    """(grams, class, notice number); class 0 is none."""
+    """(grams, class, text number); class 0 is none, the last one a licence of another family."""
     out = []
-    texts = [(t, 0) for t in OTHERS] + [(t, k + 1) for k, f in enumerate(NOTICES) for t in NOTICES[f]]
+    other = len(NOTICES) + 1
+    texts = [(t, 0 if n < FOREIGN else other) for n, t in enumerate(OTHERS)] + [(t, k + 1) for k, f in enumerate(NOTICES) for t in NOTICES[f]]
     filler = sorted({w for t in OTHERS for w in tokens(t)})
     for number, (text, k) in enumerate(texts):
         words = tokens(text)
@@ -88,28 +119,52 @@ def _solve(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     return w
 
 
+def telling(family: str, words: set[str]) -> bool:
+    some, none = TELLING[family]
+    return any(set(tokens(t)) <= words for t in some) and not words & set(none)
+
+
+def confirmed(family: str, words: set[str]) -> bool:
+    """The template comparison, in Python: see ``scan_licenses`` for the same in DataFrame functions."""
+    return telling(family, words) and any(len(words & n) >= SHARE * min(len(n), len(words)) for n in (set(tokens(t)) for t in NOTICES[family]))
+
+
+def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Probability of each class but none against none."""
+    z = x @ w
+    return 1 / (1 + np.exp(z[:, :1] - z[:, 1:]))
+
+
 def train(seed: int = 5) -> dict:
     """Weights per gram (the empty gram is the intercept), families, and the calibrated threshold."""
     examples = _examples(np.random.default_rng(seed))
-    vocabulary = sorted({g for s, _, _ in examples for g in s})
+    plain = {w for t in OTHERS[:FOREIGN] for w in tokens(t)}
+    stated = {g for t in [t for f in NOTICES.values() for t in f] + OTHERS[FOREIGN:] for g in grams(tokens(t))}
+    # A pair is a feature if one of its words is not a plain one, or if no plain text has the pair.
+    used = {g for t in OTHERS[:FOREIGN] for g in grams(tokens(t))}
+    vocabulary = sorted(g for g in stated if g not in used)
     place = {g: i + 1 for i, g in enumerate(vocabulary)}
     x = np.zeros((len(examples), len(vocabulary) + 1))
     x[:, 0] = 1
     for r, (s, _, _) in enumerate(examples):
-        x[r, [place[g] for g in s]] = 1
-    norm = np.sqrt(x.sum(1, keepdims=True))
+        x[r, [place[g] for g in s if g in place]] = 1
+    x /= np.sqrt(x.sum(1, keepdims=True))
     y, number = np.array([k for _, k, _ in examples]), np.array([n for _, _, n in examples])
     families = [*NOTICES]
-    best: list[float] = []
-    for fold in range(4):  # what no family owns, scored by models that have not seen it
-        out = (y == 0) & (number % 4 == fold)
-        w = _solve((x / norm)[~out], y[~out], len(families) + 1)
-        z = (x / norm)[out] @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        best += (p[:, 1:].max(1) / p.sum(1)).tolist()
-    threshold = float(np.quantile(best, 1 - MISS))
-    w = _solve(x / norm, y, len(families) + 1)
-    return {"families": families, "vocabulary": ["", *vocabulary], "weights": w, "threshold": min(0.9, max(0.3, threshold))}
+    classes = len(families) + 2
+    passed: list[float] = []
+    texts = OTHERS + [t for f in NOTICES for t in NOTICES[f]]
+    label = [0] * len(OTHERS) + [k + 1 for k, f in enumerate(NOTICES) for _ in NOTICES[f]]
+    folds = [(y == 0) & (number % 4 == fold) for fold in range(4)] + [y == k for k in range(1, classes)]
+    for out in folds:  # scored by models that have not seen it
+        p = odds(x[out], _solve(x[~out], y[~out], classes))
+        for row, n in zip(p, number[out], strict=True):
+            words = set(tokens(texts[n]))
+            passed.append(max((row[k] for k, f in enumerate(families) if k + 1 != label[n] and confirmed(f, words)), default=0.0))
+    w = _solve(x, y, classes)
+    if odds(np.eye(1, x.shape[1]), w).max() >= 0.5:
+        raise ValueError("a text without a vocabulary word must not look like a licence")
+    return {"families": families, "vocabulary": ["", *vocabulary], "weights": w, "threshold": min(0.9, max(0.5, float(np.quantile(passed, 1 - MISS)))), "plain": sorted(plain)}
 
 
 def _let(value: Column, body) -> Column:
@@ -121,59 +176,74 @@ def _vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def _literal(value: object, schema: str) -> Column:
+    """One literal: thousands of literal nodes would make the plan slow to analyse."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Per document: see the module's text."""
     model = model or train()
     families, weights = model["families"], model["weights"]
-    classes = len(families) + 1
-    # One literal each: thousands of literal nodes would make the plan slow to analyse.
-    table = F.from_json(F.lit(json.dumps(dict(zip(model["vocabulary"], weights.tolist(), strict=True)))), "map<string,array<double>>")
-    notices = F.from_json(F.lit(json.dumps([{"k": k, "words": sorted(set(tokens(t)))} for k, f in enumerate(families) for t in NOTICES[f]])), "array<struct<k:int,words:array<string>>>")
+    table = _literal(dict(zip(model["vocabulary"], weights.tolist(), strict=True)), "map<string,array<double>>")
+    vocabulary = _literal(model["vocabulary"][1:], "array<string>")
+    # The words of all features: a text without any of them has no feature.
+    singles = _literal(sorted({w for g in model["vocabulary"] for w in g.split()}), "array<string>")
     add = lambda a, b: F.zip_with(a, b, lambda u, v: u + v)
 
     def grams_of(words: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-        return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
-
-    def probabilities(words: Column) -> Column:
-        known = F.filter(F.transform(grams_of(words), lambda g: F.try_element_at(table, g)), lambda v: v.isNotNull())
-        z = _let(known, lambda own: F.transform(F.aggregate(own, _vector(weights[0]), add), lambda v: v / F.sqrt(F.size(own) + F.lit(1.0))))
-        e = _let(z, lambda zs: _let(F.array_max(zs), lambda most: F.transform(zs, lambda v: F.exp(v - most))))
-        return _let(e, lambda es: _let(F.aggregate(es, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(es, lambda v: v / total)))
-
-    used = F.from_json(F.lit(json.dumps(sorted({w for f in families for t in NOTICES[f] for w in tokens(t)}))), "array<string>")
-
-    def covers(n: Column, words: Column) -> Column:
-        return F.size(F.array_intersect(n["words"], words)) >= F.lit(SHARE) * F.size(n["words"])
-
-    def split_up(paragraph: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(paragraph), F.lit(TOKEN), F.lit(0))
-        return F.struct(words.alias("words"), paragraph.rlike(CUE).alias("cue"))
-
-    def scored(s: Column) -> Column:
-        return s["cue"] | _let(F.array_intersect(used, s["words"]), lambda own: (F.size(own) >= fewest) & F.exists(notices, lambda n: covers(n, own)))
-
-    def verdict(s: Column) -> Column:
-        return F.struct(probabilities(s["words"]).alias("p"), s["words"].alias("words"))
-
-    def decided(v: Column) -> Column:
-        return _let(F.slice(v["p"], 2, classes - 1), lambda own: _let(F.array_max(own), lambda top: _let((F.array_position(own, top) - 1).cast("int"), lambda k: F.struct(
-            top.alias("p"),
-            F.element_at(F.array(*map(F.lit, families)), k + 1).alias("family"),
-            F.exists(notices, lambda n: (n["k"] == k) & covers(n, v["words"])).alias("confirmed"),
-            F.element_at(v["p"], 1).alias("none"),
-        ))))
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def probabilities(known: Column) -> Column:
+        """Of each class against none, from the features of a paragraph."""
+        z = F.aggregate(known, _vector(weights[0]), lambda sums, g: add(sums, F.element_at(table, g)))
+        return _let(F.sqrt(F.size(known) + F.lit(1.0)), lambda size: _let(z, lambda zs: F.transform(F.slice(zs, 2, len(families) + 1), lambda v: 1 / (1 + F.exp((F.element_at(zs, 1) - v) / size)))))
+
+    def covers(family: str, words: Column) -> Column:
+        notices = _literal([sorted(set(tokens(t))) for t in NOTICES[family]], "array<array<string>>")
+        return F.exists(notices, lambda n: F.size(F.array_intersect(n, words)) >= F.lit(SHARE) * F.least(F.size(n), F.size(words)))
+
+    def tells(family: str, words: Column) -> Column:
+        some, none = TELLING[family]
+        every = lambda t: [F.array_contains(words, w) for w in sorted(set(tokens(t)))]
+        any_ = F.lit(False)
+        for t in some:
+            both = F.lit(True)
+            for c in every(t):
+                both = both & c
+            any_ = any_ | both
+        for w in none:
+            any_ = any_ & ~F.array_contains(words, w)
+        return any_
+
+    def verdict(unit: Column) -> Column:
+        """Confirmed families with their probabilities, and whether a licence is likelier than none."""
+        fits = F.filter(F.array(*[F.when(tells(f, unit["own"]) & covers(f, unit["own"]), F.lit(k)) for k, f in enumerate(families)]), lambda k: k.isNotNull())
+        return _let(probabilities(unit["known"]), lambda p: F.struct(
+            F.filter(F.transform(fits, lambda k: F.struct(F.element_at(p, k + 1).alias("p"), F.element_at(F.array(*map(F.lit, families)), k + 1).alias("family"))), lambda x: x["p"] >= model["threshold"]).alias("sure"),
+            (F.array_max(p) > 0.5).alias("stated")))
+
+    def unit_of(text: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+        return _let(words, lambda own: F.when(F.arrays_overlap(singles, own), F.struct(F.array_distinct(own).alias("own"), F.array_intersect(vocabulary, grams_of(own)).alias("known"))))
+
+    def units(paragraph: Column) -> Column:
+        lines = F.split(paragraph, "\n")
+        each = F.concat(F.array(paragraph), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))
+        return F.filter(F.transform(each, unit_of), lambda u: u.isNotNull() & (F.size(u["known"]) > 0))
 
-    fewest = min(math.ceil(SHARE * len(set(tokens(t))) - 1e-9) for f in families for t in NOTICES[f])
     text = F.coalesce(F.col("text"), F.lit(""))
-    paragraphs = F.filter(F.split(text, "\n"), lambda t: F.btrim(t, F.lit(" \t\r\f\x0b")) != "")
+    blank = lambda t: F.btrim(t, F.lit(" \t\r\n\f\x0b")) == ""
+    paragraphs = F.filter(F.split(text, "\n[ \\t\\r\\f\\x0b]*\n"), lambda t: ~blank(t))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"))
-    parts = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform("paragraphs", split_up), scored).alias("s"))
-    first = parts.select("doc_id", "n_paragraphs", F.transform("s", verdict).alias("v"))
-    found = first.select("doc_id", "n_paragraphs", F.transform("v", decided).alias("d"))
-    sure = F.filter("d", lambda d: (d["p"] >= model["threshold"]) & d["confirmed"])
-    unknown = F.filter("d", lambda d: (d["none"] < 0.5) & ~((d["p"] >= model["threshold"]) & d["confirmed"]))
-    best = F.array_max(F.transform(sure, lambda d: d["p"]))
-    top = F.array_min(F.transform(F.filter(sure, lambda d: d["p"] == best), lambda d: d["family"]))
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda d: d["family"]))), ",")
-    return found.select("doc_id", "n_paragraphs", (F.size(sure) + F.size(unknown)).cast("long").alias("n_notices"), names.alias("families"), top.alias("top_family"), F.coalesce(best, F.lit(0.0)).alias("score"), F.size(unknown).cast("long").alias("n_unknown"))
+    parts = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform("paragraphs", units), lambda u: F.size(u) > 0).alias("u"))
+    judged = parts.select("doc_id", "n_paragraphs", F.transform("u", lambda own: F.transform(own, verdict)).alias("v"))
+    found = judged.select("doc_id", "n_paragraphs", F.transform("v", lambda own: F.struct(F.flatten(F.transform(own, lambda x: x["sure"])).alias("sure"), F.exists(own, lambda x: x["stated"]).alias("stated"))).alias("d"))
+    sure = F.flatten(F.transform("d", lambda d: d["sure"]))
+    best = F.array_max(F.transform(sure, lambda x: x["p"]))
+    top = F.array_min(F.transform(F.filter(sure, lambda x: x["p"] == best), lambda x: x["family"]))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",")
+    unknown = F.size(F.filter("d", lambda d: d["stated"] & (F.size(d["sure"]) == 0))).cast("long")
+    stated = F.size(F.filter("d", lambda d: F.size(d["sure"]) > 0)).cast("long")
+    return found.select("doc_id", "n_paragraphs", (stated + unknown).alias("n_notices"), names.alias("families"), top.alias("top_family"), F.coalesce(best, F.lit(0.0)).alias("score"), unknown.alias("n_unknown"))

@@ -247,18 +247,57 @@ def test_merge_keeps_order_and_prefixes():
     assert all(k == suffix_dedup.common(a, b) for (k, _), a, b in zip(out[1:], texts, texts[1:]))
 
 
-def test_licenses(spark):
-    texts = ["x\nReleased under the MIT License.\ny", "This work is licensed under the GNU General Public License, version 3.", "Proprietary license. All rights reserved", None, "", "nothing here", "licensed under the foo license v3", "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[k].families for k in range(8)] == ["MIT", "GPL", "", "", "", "", "", "Apache-2.0,CC-BY-NC"]
-    assert got[6].n_unknown == 1 and got[3].n_paragraphs == 0 and got[0].n_paragraphs == 3
+LICENCE_TEXTS = {
+    "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under the Eclipse Public License 2.0": "EPL", "This work is licensed under the GNU Affero General Public License, version 3": "AGPL", "AGPL-3.0": "AGPL", "Released under the ISC License": "ISC", "Available under CC BY-SA 4.0": "CC-BY-SA",
+    "Text is available under CC BY-SA 4.0": "CC-BY-SA", "Available under the Apache 2.0 terms": "Apache-2.0", "Lizenziert unter CC BY 4.0": "CC-BY", "Publicado bajo licencia CC BY 4.0": "CC-BY", "Released under GPLv3": "GPL", "dual MIT / Apache-2.0": "Apache-2.0,MIT",
+    "This work is in the public domain.": "Public-Domain", "Released under the LGPL": "LGPL", "Licensed under CC0 1.0": "CC0", "Licensed under the Mozilla Public License 2.0": "MPL",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+    "Licensed under the\n  Apache License,\n  Version 2.0 (the License)": "Apache-2.0",
+    "one\ntwo\nReleased under the MIT License\nLicensed under CC BY-SA 4.0\nthree": "CC-BY-SA,MIT",
+}
+LICENCE_FREE = ["", None, " \n\n\t", "nothing here", "Proprietary license. All rights reserved", "The dog slept under the table in the public library", "MIT graduates found work", "Students at MIT may modify the report", "A driving license is needed for this job", "The eclipse was seen in public"]
+LICENCE_UNKNOWN = ["licensed under the foo license v3", "Licensed under the Artistic License, Version 2.0", "SPDX-License-Identifier: WTFPL", "Licensed under the Open Software License 3.0"]
+
+
+def brute_licence(text, model):
+    """Every paragraph and line scored on its own, without any gate."""
+    paragraphs = [p for p in re.split("\n[ \\t\\r\\f\\x0b]*\n", text or "") if p.strip(" \t\r\n\f\x0b")]
+    place = {g: i for i, g in enumerate(model["vocabulary"])}
+    found, unknown = [], 0
+    for p in paragraphs:
+        sure, stated = [], False
+        for unit in [p] + (p.split("\n") if "\n" in p else []):
+            words = licenses.tokens(unit)
+            known = [place[g] for g in licenses.grams(words) if g in place and g]
+            z = (model["weights"][0] + model["weights"][known].sum(0)) / np.sqrt(len(known) + 1)
+            odds = 1 / (1 + np.exp(z[0] - z[1:]))
+            sure += [(odds[k], f) for k, f in enumerate(model["families"]) if odds[k] >= model["threshold"] and licenses.confirmed(f, set(words))]
+            stated |= bool(odds.max() > 0.5)
+        found.append(sure)
+        unknown += stated and not sure
+    every = [x for s in found for x in s]
+    best = max((p for p, _ in every), default=0.0)
+    return len(paragraphs), sum(map(bool, found)) + unknown, ",".join(sorted({f for _, f in every})), round(float(best), 9), unknown
 
 
-def test_licenses_without_cue_words(spark):
-    texts = ["Text is available under CC BY-SA 4.0", "Available under the Apache 2.0 terms", "Lizenziert unter CC BY 4.0", "Publicado bajo licencia CC BY 4.0", "The harbour was quiet in the morning"]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[k].families for k in range(5)] == ["CC-BY-SA", "Apache-2.0", "CC-BY", "CC-BY", ""]
-    assert got[4].n_notices == 0
+def test_licenses(spark):
+    model = licenses.train()
+    texts = [*LICENCE_TEXTS, *LICENCE_FREE, *LICENCE_UNKNOWN]
+    texts += ["\n\n".join(["word " * 4000, texts[0], "more " * 4000, texts[2], LICENCE_UNKNOWN[0]]), texts[0], " ".join(texts[:12]), "\n".join(texts[:12]), "l" * 200_000]
+    table = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, families string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(table, model).collect()}
+    for k, t in enumerate(texts):
+        r = got[k]
+        assert (r.n_paragraphs, r.n_notices, r.families, round(r.score, 9), r.n_unknown) == brute_licence(t, model), t
+    for k, t in enumerate(texts[: len(LICENCE_TEXTS)]):
+        assert got[k].families == LICENCE_TEXTS[t] and got[k].n_unknown == 0 and got[k].score >= model["threshold"], t
+    for k, t in enumerate(texts):
+        if t in LICENCE_FREE:
+            assert got[k].n_notices == 0 and got[k].top_family is None and got[k].score == 0, t
+        if t in LICENCE_UNKNOWN:
+            assert got[k].families == "" and got[k].n_unknown == 1, t
+    assert licenses.scan_licenses(table.limit(0), model).count() == 0
 
 
 def test_toxicity(spark):
