@@ -4,13 +4,13 @@ Texts are cut at blank lines into paragraphs; a paragraph of several lines is sc
 line by line (a notice among other lines). Each is the set of its words and word pairs. A sparse logistic regression over the
 licence families gives each family its odds against no licence. The model is trained on the driver from notices
 written here (fixed values) with words dropped and added, against texts of no family that use the same words. Grams made of
-words that the texts of no family use too are no features, so a text without a vocabulary word has the intercept's
+words that the texts of no family use too, or of common words, are no features, so a text without a vocabulary word has the intercept's
 score, under which no family can be found: it is not scored further, and nothing is lost by that (``train`` checks it).
 
 The unknown class is calibrated: texts of no family and each family in turn are left out of training, and the threshold is the
 lowest probability at which at most ``MISS`` of what the model has not seen passes as a family that the template
 comparison confirms. That comparison needs ``SHARE`` of the words of one of the family's notices, or as large a share of the
-paragraph's own words in one, and the words that tell the family from its relatives (``TELLING``). What is likelier a licence than
+paragraph's own words in one, and a phrase that tells the family from its relatives (``TELLING``). What is likelier a licence than
 none but is confirmed for no family is an unknown licence.
 
 All is row-local: no shuffle, no explode, no Python. Result per document: doc_id, n_paragraphs (not blank), n_notices
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -58,14 +59,19 @@ NOTICES = {
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "Public-Domain": ["This work is in the public domain", "Released into the public domain", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense", "Placed in the public domain by its author"],
 }
-#: Words that tell a family from its relatives: any of these sets, and none of those words.
+#: Phrases that tell a family from its relatives: any of these, and none of those.
 TELLING = {
-    "AGPL": (["agpl", "agpl 3.0", "affero"], []), "Apache-2.0": (["apache"], []), "BSD": (["bsd", "redistribution source binary", "neither endorse promote"], []),
-    "CC-BY": (["cc by", "creative commons attribution"], ["nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives"]), "CC-BY-NC": (["cc by nc", "creative commons noncommercial"], []),
-    "CC-BY-ND": (["cc by nd", "creative commons noderivatives"], []), "CC-BY-SA": (["cc by sa", "creative commons sharealike"], ["nc", "noncommercial"]), "CC0": (["cc0"], []), "EPL": (["eclipse", "epl"], []),
-    "GPL": (["gpl", "gplv3", "gplv2", "gnu general public"], ["lesser", "affero"]), "ISC": (["isc", "permission use any purpose fee"], []), "LGPL": (["lgpl", "lesser general public"], []),
-    "MIT": (["mit", "permission granted free charge", "copyright notice substantial portions"], []), "MPL": (["mpl", "mozilla"], []), "Public-Domain": (["public domain", "unlicense"], ["cc0", "not"]),
+    "AGPL": (["agpl", "affero general public"], []), "Apache-2.0": (["apache license", "apache 2.0"], []), "BSD": (["bsd license", "bsd style", "clause bsd", "identifier bsd", "redistribution and use in source", "neither the name of the"], []),
+    "CC-BY": (["cc by", "creative commons attribution"], ["by nc", "by sa", "by nd", "attribution noncommercial", "attribution sharealike", "attribution noderivatives"]), "CC-BY-NC": (["cc by nc", "creative commons attribution noncommercial"], []),
+    "CC-BY-ND": (["cc by nd", "creative commons attribution noderivatives"], []), "CC-BY-SA": (["cc by sa", "creative commons attribution sharealike"], []), "CC0": (["under cc0", "cc0 1.0", "identifier cc0"], []), "EPL": (["eclipse public license", "identifier epl"], []),
+    "GPL": (["gpl", "gplv3", "gplv2", "gnu general public license"], []), "ISC": (["isc license", "identifier isc", "for any purpose with or without fee"], []), "LGPL": (["lgpl", "lesser general public license"], []),
+    "MIT": (["mit license", "mit licence", "identifier mit", "under mit", "mit or", "or mit", "mit apache", "permission is hereby granted free of charge", "this permission notice shall be included"], []),
+    "MPL": (["mpl", "mozilla public license", "mpl 2.0"], []), "Public-Domain": (["in the public domain", "into the public domain", "identifier unlicense"], ["not in the public domain"]),
 }
+#: Common words; they, pairs of them, and words of one or two letters by themselves are no features.
+COMMON = """a an and any are as at be but by can for from had has have he if in into is it its may no not of on only or other that the their there these they this to was we were will with without you your
+all also both either later more most now out over some such than then up when where which who whom whose
+der die das und oder unter mit von zu ein eine ist nicht el la los las de del en y o con por para un una es no le les et ou sous avec par des du dans est""".split()
 #: Texts that speak of licences, or share their words, but state none of these families.
 OTHERS = [
     "All rights reserved. No license is granted", "This software is proprietary and its license is not transferable", "The dog slept under the table", "The report was released and published at last, available in all shops",
@@ -119,14 +125,16 @@ def _solve(x: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
     return w
 
 
-def telling(family: str, words: set[str]) -> bool:
+def telling(family: str, words: list[str]) -> bool:
     some, none = TELLING[family]
-    return any(set(tokens(t)) <= words for t in some) and not words & set(none)
+    text = f" {' '.join(words)} "
+    return any(f" {t} " in text for t in some) and not any(f" {t} " in text for t in none)
 
 
-def confirmed(family: str, words: set[str]) -> bool:
+def confirmed(family: str, words: list[str]) -> bool:
     """The template comparison, in Python: see ``scan_licenses`` for the same in DataFrame functions."""
-    return telling(family, words) and any(len(words & n) >= SHARE * min(len(n), len(words)) for n in (set(tokens(t)) for t in NOTICES[family]))
+    own = set(words)
+    return telling(family, words) and any(len(own & n) >= SHARE * min(len(n), len(own)) for n in (set(tokens(t)) for t in NOTICES[family]))
 
 
 def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -142,7 +150,8 @@ def train(seed: int = 5) -> dict:
     stated = {g for t in [t for f in NOTICES.values() for t in f] + OTHERS[FOREIGN:] for g in grams(tokens(t))}
     # A pair is a feature if one of its words is not a plain one, or if no plain text has the pair.
     used = {g for t in OTHERS[:FOREIGN] for g in grams(tokens(t))}
-    vocabulary = sorted(g for g in stated if g not in used)
+    dull = lambda g: all(w in COMMON for w in g.split()) or " " not in g and len(g) < 3
+    vocabulary = sorted(g for g in stated if g not in used and not dull(g))
     place = {g: i + 1 for i, g in enumerate(vocabulary)}
     x = np.zeros((len(examples), len(vocabulary) + 1))
     x[:, 0] = 1
@@ -159,7 +168,7 @@ def train(seed: int = 5) -> dict:
     for out in folds:  # scored by models that have not seen it
         p = odds(x[out], _solve(x[~out], y[~out], classes))
         for row, n in zip(p, number[out], strict=True):
-            words = set(tokens(texts[n]))
+            words = tokens(texts[n])
             passed.append(max((row[k] for k, f in enumerate(families) if k + 1 != label[n] and confirmed(f, words)), default=0.0))
     w = _solve(x, y, classes)
     if odds(np.eye(1, x.shape[1]), w).max() >= 0.5:
@@ -187,8 +196,8 @@ def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
     families, weights = model["families"], model["weights"]
     table = _literal(dict(zip(model["vocabulary"], weights.tolist(), strict=True)), "map<string,array<double>>")
     vocabulary = _literal(model["vocabulary"][1:], "array<string>")
-    # The words of all features: a text without any of them has no feature.
-    singles = _literal(sorted({w for g in model["vocabulary"] for w in g.split()}), "array<string>")
+    # Of each feature a word that is no common one: a text without any of these words has no feature.
+    needed = _literal(sorted({max((w for w in g.split() if w not in COMMON), key=len) for g in model["vocabulary"][1:]}), "array<string>")
     add = lambda a, b: F.zip_with(a, b, lambda u, v: u + v)
 
     def grams_of(words: Column) -> Column:
@@ -204,29 +213,21 @@ def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
         notices = _literal([sorted(set(tokens(t))) for t in NOTICES[family]], "array<array<string>>")
         return F.exists(notices, lambda n: F.size(F.array_intersect(n, words)) >= F.lit(SHARE) * F.least(F.size(n), F.size(words)))
 
-    def tells(family: str, words: Column) -> Column:
-        some, none = TELLING[family]
-        every = lambda t: [F.array_contains(words, w) for w in sorted(set(tokens(t)))]
-        any_ = F.lit(False)
-        for t in some:
-            both = F.lit(True)
-            for c in every(t):
-                both = both & c
-            any_ = any_ | both
-        for w in none:
-            any_ = any_ & ~F.array_contains(words, w)
-        return any_
+    def tells(family: str, line: Column) -> Column:
+        some, none = ([line.contains(F.lit(f" {t} ")) for t in phrases] for phrases in TELLING[family])
+        return reduce(Column.__or__, some) & ~reduce(Column.__or__, none, F.lit(False))
 
     def verdict(unit: Column) -> Column:
         """Confirmed families with their probabilities, and whether a licence is likelier than none."""
-        fits = F.filter(F.array(*[F.when(tells(f, unit["own"]) & covers(f, unit["own"]), F.lit(k)) for k, f in enumerate(families)]), lambda k: k.isNotNull())
+        fits = F.filter(F.array(*[F.when(tells(f, unit["line"]) & covers(f, unit["own"]), F.lit(k)) for k, f in enumerate(families)]), lambda k: k.isNotNull())
         return _let(probabilities(unit["known"]), lambda p: F.struct(
             F.filter(F.transform(fits, lambda k: F.struct(F.element_at(p, k + 1).alias("p"), F.element_at(F.array(*map(F.lit, families)), k + 1).alias("family"))), lambda x: x["p"] >= model["threshold"]).alias("sure"),
             (F.array_max(p) > 0.5).alias("stated")))
 
+    words_of = lambda text: F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
     def unit_of(text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-        return _let(words, lambda own: F.when(F.arrays_overlap(singles, own), F.struct(F.array_distinct(own).alias("own"), F.array_intersect(vocabulary, grams_of(own)).alias("known"))))
+        return _let(words_of(text), lambda own: F.when(F.arrays_overlap(needed, own), F.struct(F.array_distinct(own).alias("own"), F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")).alias("line"), F.array_intersect(vocabulary, grams_of(own)).alias("known"))))
 
     def units(paragraph: Column) -> Column:
         lines = F.split(paragraph, "\n")
@@ -236,8 +237,8 @@ def scan_licenses(docs: DataFrame, model: dict | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = lambda t: F.btrim(t, F.lit(" \t\r\n\f\x0b")) == ""
     paragraphs = F.filter(F.split(text, "\n[ \\t\\r\\f\\x0b]*\n"), lambda t: ~blank(t))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"))
-    parts = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform("paragraphs", units), lambda u: F.size(u) > 0).alias("u"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"), F.arrays_overlap(needed, words_of(text)).alias("some"))
+    parts = cut.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter(F.transform(F.when(F.col("some"), F.col("paragraphs")).otherwise(F.array().cast("array<string>")), units), lambda u: F.size(u) > 0).alias("u"))
     judged = parts.select("doc_id", "n_paragraphs", F.transform("u", lambda own: F.transform(own, verdict)).alias("v"))
     found = judged.select("doc_id", "n_paragraphs", F.transform("v", lambda own: F.struct(F.flatten(F.transform(own, lambda x: x["sure"])).alias("sure"), F.exists(own, lambda x: x["stated"]).alias("stated"))).alias("d"))
     sure = F.flatten(F.transform("d", lambda d: d["sure"]))

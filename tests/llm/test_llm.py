@@ -256,7 +256,7 @@ LICENCE_TEXTS = {
     "Licensed under the\n  Apache License,\n  Version 2.0 (the License)": "Apache-2.0",
     "one\ntwo\nReleased under the MIT License\nLicensed under CC BY-SA 4.0\nthree": "CC-BY-SA,MIT",
 }
-LICENCE_FREE = ["", None, " \n\n\t", "nothing here", "Proprietary license. All rights reserved", "The dog slept under the table in the public library", "MIT graduates found work", "Students at MIT may modify the report", "A driving license is needed for this job", "The eclipse was seen in public"]
+LICENCE_FREE = ["", None, " \n\n\t", "nothing here", "Proprietary license. All rights reserved", "The dog slept under the table in the public library", "MIT graduates found work", "Students at MIT may modify the report", "A driving license is needed for this job", "The eclipse was seen in public", "Er geht mit dem Hund, as it is only that of the nd and on this or at that"]
 LICENCE_UNKNOWN = ["licensed under the foo license v3", "Licensed under the Artistic License, Version 2.0", "SPDX-License-Identifier: WTFPL", "Licensed under the Open Software License 3.0"]
 
 
@@ -272,7 +272,7 @@ def brute_licence(text, model):
             known = [place[g] for g in licenses.grams(words) if g in place and g]
             z = (model["weights"][0] + model["weights"][known].sum(0)) / np.sqrt(len(known) + 1)
             odds = 1 / (1 + np.exp(z[0] - z[1:]))
-            sure += [(odds[k], f) for k, f in enumerate(model["families"]) if odds[k] >= model["threshold"] and licenses.confirmed(f, set(words))]
+            sure += [(odds[k], f) for k, f in enumerate(model["families"]) if odds[k] >= model["threshold"] and licenses.confirmed(f, words)]
             stated |= bool(odds.max() > 0.5)
         found.append(sure)
         unknown += stated and not sure
