@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsort.llm.common import crc_mod
+from capsort.llm.common import bounded_texts, crc_mod
 from capsort.llm.decontam import Hasher, normal
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
-#: Bounds of the training sample.
-POSITIVE, NEGATIVE = 3000, 6000
+#: Bounds of the training sample, in rows and in bytes.
+POSITIVE, NEGATIVE, SAMPLE_BYTES = 3000, 6000, 48_000_000
 EPOCHS, RATE, DECAY, BATCH = 10, 0.02, 1e-5, 32
 CHUNK = 1_000_000
 CUT = 0.3
@@ -83,6 +83,7 @@ def pooled(ids: np.ndarray, starts: np.ndarray, tables: list[np.ndarray]) -> tup
         total = tables[at][ids]
         for j in range(1, width):
             total[:-j] += tables[at + j][ids[j:]]
+        total[ids == BUCKETS] = 0  # a window that starts after a text must not see the next one
         out.append(np.maximum.reduceat(total, starts, axis=0))
         at += width
     return np.hstack(out)
@@ -135,6 +136,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> dict:
                 total = x @ filters[w][0]
                 for j in range(1, w):
                     total[:-j] += (x @ filters[w][j])[j:]
+                total[ids == BUCKETS] = 0
                 top = np.maximum.reduceat(total, starts, axis=0)
                 doc = np.repeat(np.arange(len(batch)), np.diff(np.append(starts, len(ids))))
                 # first place of each maximum
@@ -151,7 +153,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> dict:
             d_embedding: dict = {}
             touched, grads = [], []
             for k, w in enumerate(WIDTHS):
-                d = d_hidden[:, k * FILTERS : (k + 1) * FILTERS]
+                d = d_hidden[:, k * FILTERS : (k + 1) * FILTERS] * (ids[where[k]] != BUCKETS)
                 d_filter = np.zeros_like(filters[w])
                 for j in range(w):
                     place = np.minimum(where[k] + j, len(ids) - 1)
@@ -220,9 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) ->
     for value, most in ((1, POSITIVE), (0, NEGATIVE)):
         rows = by_id.filter(F.col("toxic") == value).orderBy(place, "doc_id").limit(most).select("doc_id")
         chosen |= {r[0]: value for r in rows.collect()}
-    texts = docs.select("doc_id", "text").filter(F.col("doc_id").isin([*chosen]) & F.col("text").isNotNull()).limit(4 * (POSITIVE + NEGATIVE)).collect() if chosen else []
-    rows = sorted((r[0], r[1]) for r in texts)[: 2 * (POSITIVE + NEGATIVE)]
-    return fit([t for _, t in rows], [chosen[i] for i, _ in rows])
+    if not chosen:
+        return fit([], [])
+    known = docs.filter(F.col("doc_id").isin([*chosen]) & F.col("text").isNotNull()).select(place.alias("place"), F.col("doc_id").cast("long").alias("label"), "text")
+    rows = bounded_texts(known, 2 * (POSITIVE + NEGATIVE), SAMPLE_BYTES)
+    return fit([t for _, _, t in rows], [chosen[i] for _, i, _ in rows])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
