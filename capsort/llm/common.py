@@ -89,20 +89,41 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def bounded_sample(rows: DataFrame, label: str, size: int, most_labels: int) -> list[tuple[str, object]]:
-    """At most ``size`` (text, label) rows, about as many of each label, chosen by hash of the id.
+def bounded_texts(rows: DataFrame, most_rows: int, most_bytes: int) -> list[tuple[int, object, str]]:
+    """(place, label, text) of ``rows`` in the order of place and text hash, at most so many rows and bytes; never more reach the driver.
 
-    Two narrow passes: labels are counted first, then the texts of the chosen ids are read. The result is
-    sorted, so that a model fitted on it does not depend on partitioning.
+    A text that does not fit any more is passed over. Rows that repeat place and text are one. The result does not depend on partitioning.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    named = rows.withColumn("mark", F.xxhash64("text"))
+    sizes = named.groupBy("place", "mark").agg(F.max(F.octet_length("text")).alias("size")).orderBy("place", "mark").limit(most_rows).collect()
+    left, chosen = most_bytes, []
+    for r in sizes:
+        if r.size <= left:
+            left -= r.size
+            chosen.append((r.place, r.mark))
+    if not chosen:
+        return []
+    some = named.filter(F.col("place").isin([p for p, _ in chosen])).groupBy("place", "mark").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    wanted = set(chosen)
+    return sorted((r.place, r.label, r.text) for r in some.filter(F.col("mark").isin([m for _, m in chosen])).collect() if (r.place, r.mark) in wanted)
+
+
+def bounded_sample(rows: DataFrame, label: str, size: int, most_labels: int, most_bytes: int) -> list[tuple[str, object]]:
+    """At most ``size`` (text, label) rows of ``most_bytes``, about as many of each label, chosen by hash of id and text.
+
+    Narrow passes: labels are counted first, then the texts of the chosen rows are read. The result is
+    sorted, so that a model fitted on it does not depend on partitioning. More labels than ``most_labels`` are an error.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels + 1).collect()}
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} different values of {label}")
     if not counts:
         return []
     share = max(1, size // len(counts))
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * share / n))])
-    place = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    place = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))
     chosen = rows.filter(F.pmod(place, F.lit(1_000_000)) < F.element_at(rates, F.col(label)) * 1_000_000)
     found: dict[object, list] = {}
-    for r in chosen.select("text", F.col(label).alias("label"), place.alias("place")).limit(4 * size).collect():
-        found.setdefault(r.label, []).append((r.place, r.text))
+    for p, k, text in bounded_texts(chosen.select(place.alias("place"), F.col(label).alias("label"), "text"), 2 * size, most_bytes):
+        found.setdefault(k, []).append((p, text))
     return [(text, k) for k in sorted(found) for _, text in sorted(found[k])[:share]]

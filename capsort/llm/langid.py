@@ -5,7 +5,7 @@ The kernel of two texts is the size of the common set over the root of the produ
 ``LANDMARKS`` training texts make the Nystroem map K(x, Z) K(Z, Z)^-1/2; one-versus-rest kernel ridge
 regression is solved on it; scoring is two matrix products per batch.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows, lowest id hashes per language)
+The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows and ``SAMPLE_BYTES``, lowest hashes of id and text per language)
 and its size (DIM x LANDMARKS) does not depend on the corpus. Scoring reads whole texts, in one narrow scan.
 
 Defined cases: a null text, an empty one or one without a letter gives ``und`` with score 0. No labelled
@@ -27,8 +27,8 @@ from capsort.llm.common import bounded_sample, crc_mod
 
 DIM = 8192
 LANDMARKS = 160
-#: Bound of the training sample in rows.
-SAMPLE = 1600
+#: Bounds of the training sample, in rows and in bytes.
+SAMPLE, SAMPLE_BYTES = 1600, 48_000_000
 RIDGE = 1e-2
 BATCH = 128
 #: One model is one matrix of this many columns at most; more languages than this are an error.
@@ -110,7 +110,7 @@ def train(docs: DataFrame, folds: int = 5, held: int = 0) -> dict:
     """Learn from rows whose crc32(id) mod ``folds`` is not ``held`` and whose language is known."""
     out = F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False))
     labelled = docs.filter(~out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = bounded_sample(labelled, "lang", SAMPLE, MAX_LANGS)
+    rows = bounded_sample(labelled, "lang", SAMPLE, MAX_LANGS, SAMPLE_BYTES)
     rows = [(text, lang) for text, lang in rows if LETTER.search(text)]
     return fit([t for t, _ in rows], [x for _, x in rows])
 

@@ -477,3 +477,141 @@ def test_pipeline(spark, tmp_path, rows):
     assert len(second) == len(set(second)) and 101 not in second and 100 in second
     assert 5 not in [r.doc_id for r in spark.read.parquet(f"{tmp_path}/decontamination").select("doc_id").collect()]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def test_convolution_by_tables_is_a_plain_convolution():
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(60)]
+    texts = [sentence(rng, rng.randint(1, 40), words) for _ in range(120)] + ["", None, "one", "a b"] + [sentence(rng, 21_000, words)]
+    model = toxicity.fit(texts[:120], [k % 3 == 0 for k in range(120)])
+    ids, starts = toxicity.buckets(texts, toxicity.Hasher())
+    got = toxicity.logits(ids, starts, model, toxicity.tables_of(model))
+    for k, t in enumerate(texts):
+        own = toxicity.buckets([t], toxicity.Hasher())[0]
+        pads = np.full(2 * max(toxicity.WIDTHS), toxicity.BUCKETS)
+        x = model["embedding"][np.concatenate((own, pads))].astype(np.float64)  # pads are zero: filters may hang over the end
+        top = []
+        for w in toxicity.WIDTHS:
+            rows = len(own)
+            sums = sum(x[j : j + rows] @ model["filters"][w][j].astype(np.float64) for j in range(w))
+            top.append(sums.max(0))
+        z = np.maximum(np.concatenate(top) + model["bias"], 0) @ model["out"] + model["out_bias"]
+        assert abs(z - got[k]) < 1e-3 * max(1, abs(z)), (k, z, got[k])
+
+
+def test_language_scores_are_those_of_the_dual_solution():
+    rng = random.Random(12)
+    vocab = {"a": "alpha beta gamma delta".split(), "b": "eins zwei drei vier".split(), "c": "uno dos tres cuatro".split()}
+    texts, langs = [], []
+    for k in range(90):
+        lang = "abc"[k % 3]
+        texts.append(sentence(rng, rng.randint(2, 12), [w + rng.choice(["", "x", "er"]) for w in vocab[lang]]))
+        langs.append(lang)
+    model = langid.fit(texts, langs)
+    grams = lambda t: frozenset(np.flatnonzero(langid.presence(t)).tolist())
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    own = [grams(t) for t in texts]
+    z = [frozenset(np.flatnonzero(r).tolist()) for r in model["landmarks"]]
+    matrix = lambda p, q: np.array([[kernel(a, b) for b in q] for a in p])
+    middle = np.linalg.pinv(matrix(z, z), rcond=1e-6, hermitian=True)
+    smooth = lambda p, q: matrix(p, z) @ middle @ matrix(z, q) + 1.0
+    weight = np.array([len(langs) / (3 * langs.count(x)) for x in langs])
+    target = np.array([[1.0 if x == n else -1.0 for n in model["langs"]] for x in langs])
+    dual = np.linalg.solve(smooth(own, own) + langid.RIDGE * np.diag(1 / weight), target)
+    asked = [sentence(rng, 5, sum(vocab.values(), [])) for _ in range(40)] + ["zwei", "x", "dos drei beta"]
+    margin = smooth([grams(t) for t in asked], own) @ dual
+    odds = np.exp(2 * (margin - margin.max(1, keepdims=True)))
+    names, p = langid.score(asked, model)
+    best = margin.argmax(1)
+    for k in range(len(asked)):
+        close = np.sort(margin[k])[-1] - np.sort(margin[k])[-2] < 1e-3
+        assert close or names[k] == model["langs"][best[k]]
+        assert abs(p[k] - odds[k, best[k]] / odds[k].sum()) < 1e-3
+
+
+def test_sharding_is_that_of_a_naive_ring(spark):
+    rng = random.Random(13)
+    rows = [(k, f"t{rng.randint(0, 50)}") for k in range(900)] + [(5, "same")] * 400 + [(None, "n")] * 30
+    for shards in (7, 8):
+        points, owner = sharding.ring(shards, sharding.VNODES)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64(F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 16).cast("long"))).otherwise(F.xxhash64(F.col("doc_id").cast("string"))).alias("place"))
+        docs = [(int(np.searchsorted(points, np.uint64(r.place % (1 << 64)), "left") % len(points)), r.place, r.doc_id is not None, r.doc_id or 0, zlib.crc32(r.text.encode()), len(r.text) + 16) for r in frame.collect()]
+        room = [len(docs) // shards + (s < len(docs) % shards) for s in range(shards)]
+        load, kept, over = [0] * shards, [], []
+        for d in sorted(docs):  # every document by itself: to its own shard while there is room
+            s = int(owner[d[0]])
+            if load[s] < room[s]:
+                kept.append((d, s, load[s]))
+                load[s] += 1
+            else:
+                over.append(d)
+        for d in over:  # then clockwise
+            at = d[0]
+            while load[int(owner[at])] >= room[int(owner[at])]:
+                at = (at + 1) % len(points)
+            kept.append((d, int(owner[at]), load[int(owner[at])]))
+            load[int(owner[at])] += 1
+        want = sorted((d[3] if d[2] else -1, d[4], d[5], s, slot) for d, s, slot in kept)
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect())
+        assert got == want
+
+
+def test_perhaps_in_and_bounded_texts(spark, monkeypatch):
+    from capsort.llm import common
+
+    rng = np.random.default_rng(2)
+    values = rng.integers(-(2**63), 2**63, 3000)
+    keys = spark.createDataFrame([(int(v),) for v in values[:1000]], "k long")
+    hit = common.perhaps_in(keys, "k")
+    got = {r.v for r in spark.createDataFrame([(int(v),) for v in values], "v long").filter(hit("v")).collect()}
+    assert set(values[:1000].tolist()) <= got and len(got) < 1100
+    monkeypatch.setattr(common, "BITMAP", 64)
+    assert common.perhaps_in(keys, "k") is None
+    rows = spark.createDataFrame([(k % 7, k % 2, "x" * k) for k in range(60)] * 3, "place long, label int, text string")
+    some = common.bounded_texts(rows, 50, 500)
+    assert sum(len(t) for _, _, t in some) <= 500 and len(some) == len(set(some)) and some == common.bounded_texts(rows.repartition(5), 50, 500)
+    with pytest.raises(ValueError):
+        common.bounded_sample(spark.createDataFrame([(k, f"l{k}", "t") for k in range(5)], "doc_id long, lang string, text string"), "lang", 10, 3, 1000)
+
+
+def test_empty_tables_and_repeated_rows(spark, docs, rows):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert licenses.scan_licenses(none).count() == toxicity.toxicity(none, labels).count() == langid.identify(none).count() == decontam.contamination(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    twice = docs.unionAll(docs)
+    for run in (licenses.scan_licenses, lambda d: toxicity.toxicity(d, labels), langid.identify):
+        counts = {}
+        for r in run(twice).collect():
+            counts[tuple(map(repr, r))] = counts.get(tuple(map(repr, r)), 0) + 1
+        assert sum(counts.values()) == 2 * len(rows) and all(n % 2 == 0 for n in counts.values())
+
+
+def test_pipeline_of_hard_tables(spark, tmp_path):
+    """Every stage on an empty table, and on null ids and texts, repeated rows, long texts and clashing columns."""
+    words = lambda k, n=30: " ".join(f"word{k}x{j}" for j in range(n))
+    hard = [(None, words(1), None, None), (None, words(1), "en", "a"), (1, None, "en", "a"), (2, "", "en", "a"), (3, words(3), "en", None), (3, words(3), "en", None), (3, words(4), "de", "b"), (4, words(5, 25_000), "en", "hot"), (5, words(5, 25_000), "en", "hot"), (6, "ab", "de", "b")]
+    schema = "doc_id long, text string, lang string, source string"
+    clash = {"n_chars": F.lit(1).cast("long"), "fp": F.lit(1), "root": F.lit("r"), "key": F.lit(2.0), "shard": F.lit(9), "score": F.lit("s"), "node": F.lit(0)}
+    full = spark.createDataFrame(hard, schema).withColumns(clash)
+    for name, table in (("hard", full), ("empty", full.limit(0))):
+        where = f"{tmp_path}/{name}"
+        table.write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(1, words(3, 12)), (None, None)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, where)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, stage
+                out.write.parquet(f"{where}/{stage}")
+                docs = spark.read.parquet(f"{where}/{stage}")
+                ids = sorted(map(repr, ((r.doc_id, (r.text or "")[:6]) for r in docs.select("doc_id", "text").collect())))
+                if name == "hard" and stage == "language_id":
+                    assert len(ids) == 8
+                if name == "hard" and stage == "near_dedup":
+                    assert ids == sorted(map(repr, [(None, "word1x"), (3, "word3x"), (3, "word4x"), (4, "word5x"), (6, "ab")]))
+                if name == "hard" and stage == "decontamination":
+                    assert ids == sorted(map(repr, [(None, "word1x"), (3, "word4x"), (4, "word5x"), (6, "ab")]))
+                if name == "empty":
+                    assert not ids
+        assert (out.count() == 0) == (name == "empty")
