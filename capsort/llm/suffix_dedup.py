@@ -40,6 +40,8 @@ from capsort.llm.common import cut, drop_tables
 
 LENGTH, SPAN, GRAM = 400, 300, 8
 CORE = LENGTH - SPAN + 1
+#: Texts that are joined by broadcast because of their many copies, at most.
+HOT = 1000
 #: Anchors that meet in one merge, about, and bytes of contexts in a task before it writes its runs.
 PER_MERGE, RUN_BYTES = 20_000, 48_000_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -356,9 +358,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_text = found.groupBy("key").agg(F.collect_list("spans").alias("spans"))
     cleaned = by_text.join(packed.dropDuplicates(["key"]), "key").select("key", "packed", "spans").mapInArrow(_cut_out, "key binary, removed long, spans long, kept string")
     cleaned = cleaned.select(F.col("key").alias("key_"), "removed", F.col("spans").alias("n_spans"), "kept")
-    copies = scanned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("copied"))
+    counted = cut(scanned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("copied"), "n"))
+    # A text with so many copies would fill a task of the joins below. There are HOT of them at most, so they are broadcast.
+    many = max(1000, scanned.count() // HOT)
+    hot = F.broadcast(counted.filter(F.col("n") > many).select("copied"))
     rows = scanned.select("doc_id", "key", "n_bytes", "sha256")
-    joined = rows.join(copies, rows.key == copies.copied, "left").join(cleaned, rows.key == cleaned.key_, "left")
+    same = F.col("key") == F.col("copied")
+    copies = counted.filter(F.col("n") <= many).select("copied")
+    joined = rows.join(hot, same, "left_anti").join(copies, same, "left").join(cleaned, F.col("key") == F.col("key_"), "left")
+    often = rows.join(hot, same).withColumns({c.name: F.lit(None).cast(c.dataType) for c in cleaned.schema})
+    joined = joined.unionByName(often)
     whole = F.col("copied").isNotNull() & (F.col("n_bytes") >= LENGTH)
     pick = lambda all_, some, none: F.when(whole, all_).when(F.col("key_").isNotNull(), some).otherwise(none)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())

@@ -615,3 +615,15 @@ def test_pipeline_of_hard_tables(spark, tmp_path):
                 if name == "empty":
                     assert not ids
         assert (out.count() == 0) == (name == "empty")
+
+
+def test_suffix_dedup_of_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 10**9)  # every text with more than 1,000 copies is hot
+    long, short = "z" + "".join(chr(97 + k * k % 23) for k in range(500)), "short text"
+    rows = [(k, long) for k in range(1100)] + [(k, short) for k in range(2000, 3101)] + [(5000, "head " + long + " tail"), (5001, "alone")]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all((got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (501, 1, empty) for k in range(1100))
+    assert all((got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (0, 0, hashlib.sha256(short.encode()).hexdigest()) for k in range(2000, 3101))
+    assert (got[5000].n_removed, got[5000].n_spans, got[5000].kept_sha256) == (501, 1, hashlib.sha256(b"head  tail").hexdigest()) and got[5001].n_removed == 0
