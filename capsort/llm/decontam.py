@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Text bytes of test items in one broadcast.
 BLOCK = 16_000_000
 DEPTH = 4
