@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -424,9 +425,13 @@ def chain_fragments(spark, sf_dir):
     return simulate.fragments(_site(spark, sf_dir), 2)
 
 
-@query(f"WITH {CHAIN_SQL} SELECT component, fragment, n, first, last FROM frags WHERE n >= 3 ORDER BY n DESC, component, fragment LIMIT 1")
+@query(f"""WITH {CHAIN_SQL}, ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY n DESC, component, fragment) AS r FROM frags), best AS (SELECT * FROM ranked WHERE r = 1 AND n >= 3),
+facts AS (SELECT (SELECT COUNT(*) FROM site) AS size, COALESCE((SELECT n FROM ranked WHERE r = 2), 0) AS second)
+SELECT mode, share, component, fragment, n, first, last FROM best, facts, (VALUES ('count', 0.5::DOUBLE), ('absolute', 0.5::DOUBLE), ('absolute', 0.01::DOUBLE), ('relative', 0.5::DOUBLE)) m(mode, share)
+WHERE mode = 'count' OR mode = 'absolute' AND n >= share * size OR mode = 'relative' AND n >= 2 * second""")
 def oracle_outcome(spark, sf_dir):
-    return simulate.outcome(_site(spark, sf_dir), 2, 0.5, 3, "count")
+    rows = [simulate.outcome(_site(spark, sf_dir), 2, share, 3, mode).select(F.lit(mode).alias("mode"), F.lit(share).alias("share"), "component", "fragment", "n", "first", "last") for mode, share in (("count", 0.5), ("absolute", 0.5), ("absolute", 0.01), ("relative", 0.5))]
+    return reduce(DataFrame.unionAll, rows)
 
 
 @query("SELECT CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k, ROUND(1 - POW(GREATEST(0.5::DOUBLE * n, 1), -1.0::DOUBLE / k), 6) AS f_star FROM (SELECT UNNEST([100, 500, 1000, 2000]) AS n), (SELECT UNNEST([2, 4, 6, 10, 20]) AS k)")

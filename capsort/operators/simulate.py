@@ -34,9 +34,10 @@ def fragments(chosen: DataFrame, k: int) -> DataFrame:
 def outcome(chosen: DataFrame, k: int, q: float, least: int, mode: str) -> DataFrame:
     """The fragment that comes out, if the rule (count, absolute or relative) lets it; else no row."""
     found = fragments(chosen, k)
-    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "component", "fragment"))).filter("rank <= 2")
-    best = ranked.filter("rank = 1").select("component", "fragment", "n", "first", "last")
-    second = ranked.agg(F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("n"))), F.lit(0)).alias("second"))
+    # Each task keeps two rows: no window over all fragments.
+    first = lambda rows: found.orderBy(F.desc("n"), "component", "fragment").limit(rows)
+    best = first(1).select("component", "fragment", "n", "first", "last")
+    second = first(2).agg(F.when(F.count(F.lit(1)) > 1, F.min("n")).otherwise(0).alias("second"))
     size = chosen.agg(F.count(F.lit(1)).alias("size"))
     rule = {"count": F.lit(True), "absolute": F.col("n") >= q * F.col("size"), "relative": F.col("n") >= 2 * F.col("second")}[mode]
     return best.join(F.broadcast(second)).join(F.broadcast(size)).filter((F.col("n") >= least) & rule).drop("second", "size")
