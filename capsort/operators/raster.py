@@ -64,5 +64,5 @@ visual_hash = _over(difference_hash, T.LongType())
 # Types as objects: importing this module needs no session.
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("mean", "highlights", "shadows")]))
 def profile(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    rows = [luminance(np.frombuffer(d, np.uint8, w * h)) if d is not None else (None,) * 3 for d, w, h in zip(gray, width, height, strict=True)]
+    rows = [luminance(np.frombuffer(d, np.uint8, w * h)) if d is not None and len(d) >= w * h else (None,) * 3 for d, w, h in zip(gray, width, height, strict=True)]
     return pd.DataFrame(rows, columns=["mean", "highlights", "shadows"])

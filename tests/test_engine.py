@@ -358,3 +358,16 @@ def test_viewpoint_spread_is_that_of_all_pairs(spark):
             parts = ([min(1, sum(bits) / len(bits) / 0.35)] if bits else []) + ([min(1, max(turns) / 90)] if turns else [])
             want[g] = max(parts) if parts else None
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_pixels_are_rounded_as_single_precision(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, [-1e-8 if (i + k) % 3 else 0.01 * i for i in range(64)]) for k in range(3)]
+    rows += [(3, [math.nan, math.inf, -math.inf] + [0.03 * i for i in range(61)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("raster_statistics", "luminance_profile"):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        found = con.sql(catalogue.ORACLES[name])
+        assert sorted(map(tuple, df.select(found.columns).collect())) == sorted(found.fetchall())
