@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from capsort.config import GroupingSettings
 from capsort.functions import columns as C
+from capsort.operators.graph import checkpointed
 
 #: Hashes in one broadcast block of the neighbour search.
 BLOCK = 1_000_000
-STEP = 1 << 22
+#: Hashes of a chunk, queries searched at once, and rows of a task of the neighbour search.
+CHUNK, QUERIES, ROWS = 8192, 64, 4096
 
 
 def band_pairs(photos: DataFrame, width: int) -> DataFrame:
@@ -23,36 +25,67 @@ def band_pairs(photos: DataFrame, width: int) -> DataFrame:
     return near.join(photos.select(F.col("idx").alias("j")), "j").select("i", "j")
 
 
+def _nearest_of(queries: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the k hashes of ``table`` nearest to each of ``queries``, ties to the smaller place.
+
+    The table is met in chunks of rising places, so once k are known only what is strictly nearer than the last of them counts.
+    """
+    none = np.int64(1) << 60
+    best = np.full((len(queries), k), none)
+    rows = np.repeat(np.arange(len(queries)), k)
+    for at in range(0, len(table), CHUNK):
+        part = table[at : at + CHUNK]
+        d = np.bitwise_count(queries[:, None] ^ part[None])
+        if at == 0:
+            key = d.astype(np.int64) << 40 | np.arange(len(part))[None]
+            some = min(k, len(part))
+            best[:, :some] = np.sort(np.partition(key, some - 1, axis=1)[:, :some], axis=1)
+            continue
+        r, c = np.nonzero(d < np.minimum(best[:, -1] >> 40, 255).astype(np.uint8)[:, None])
+        if len(r):
+            which, key = np.concatenate([rows, r]), np.concatenate([best.ravel(), d[r, c].astype(np.int64) << 40 | (c + at)])
+            order = np.lexsort((key, which))
+            first = np.searchsorted(which[order], np.arange(len(queries)))
+            best = key[order][first[:, None] + np.arange(k)[None]]
+    return best & ((1 << 40) - 1), best >> 40
+
+
 def nearest(photos: DataFrame, k: int, hash_col: str = "fingerprint") -> DataFrame:
     """(i, j, distance, rank): the k nearest hashes of each photo, ties to the smaller index.
 
-    Exact. Hashes go out in blocks of bounded size, against all rows; a task keeps k per row and block.
+    Exact. Hashes go out in blocks of bounded size, against all rows; a task keeps k per row and block. Of equal hashes only the k + 1 with
+    the least indices can be among the nearest of any photo, and equal hashes of a batch are searched once.
     """
-    rows = photos.select(F.col("idx").alias("i"), F.col(hash_col).alias("h")).filter("h IS NOT NULL")
+    rows = checkpointed(photos.select(F.col("idx").cast("long").alias("i"), F.col(hash_col).alias("h")).filter("h IS NOT NULL"))
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
+    # By rows, not bytes: a few MB of hashes are much work.
+    dealt = rows.repartition(max(1, min(10_000, -(-n // ROWS))), "h")
     out = None
     for b in range(blocks):
         own = rows.filter(F.pmod("i", F.lit(blocks)) == b).toArrow()
-        order = np.argsort(own["i"].to_numpy())
-        shared = photos.sparkSession.sparkContext.broadcast((own["i"].to_numpy()[order], own["h"].to_numpy()[order]))
+        ids, hashes = own["i"].to_numpy(), own["h"].to_numpy()
+        order = np.lexsort((ids, hashes))
+        ids, hashes = ids[order], hashes[order]
+        place = np.arange(len(ids))
+        kept = place - np.searchsorted(hashes, hashes) <= k
+        order = np.argsort(ids[kept])
+        shared = photos.sparkSession.sparkContext.broadcast((ids[kept][order], hashes[kept][order].view(np.uint64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, hashes = shared.value
             for batch in batches:
-                i, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                step = max(1, STEP // max(1, len(ids)))
-                for at in range(0, len(i), step):
-                    a = i[at : at + step]
-                    d = np.bitwise_count((h[at : at + step, None] ^ hashes[None]).view(np.uint64)).astype(np.int64)
-                    d[a[:, None] == ids[None]] = 1 << 20
-                    key = d << 40 | np.arange(len(ids))[None]
-                    best = np.sort(np.partition(key, min(k, len(ids)) - 1, axis=1)[:, :k], axis=1)
-                    which, dist = best & ((1 << 40) - 1), best >> 40
-                    keep = dist < 1 << 20
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, keep.sum(1))), pa.array(ids[which[keep]]), pa.array(dist[keep])], ["i", "j", "distance"])
-
-        part = rows.mapInArrow(run, "i long, j long, distance long")
+                i, (distinct, of) = batch.column(0).to_numpy(), np.unique(batch.column(1).to_numpy().view(np.uint64), return_inverse=True)
+                for at in range(0, len(distinct), QUERIES):
+                    found, far = _nearest_of(distinct[at : at + QUERIES], hashes, k + 1)
+                    mine = np.flatnonzero((of >= at) & (of < at + QUERIES))
+                    which, dist = found[of[mine] - at], far[of[mine] - at]
+                    known = dist <= 64
+                    others = known & (ids[np.where(known, which, 0)] != i[mine][:, None]) if len(ids) else known
+                    keep = others & (np.cumsum(others, axis=1) <= k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i[mine], keep.sum(1))), pa.array(ids[which[keep]]), pa.array(dist[keep])], ["i", "j", "distance"])
+
+        part = dealt.mapInArrow(run, "i long, j long, distance long")
         out = part if out is None else out.unionAll(part)
     order = Window.partitionBy("i").orderBy("distance", "j")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -64,7 +97,8 @@ def candidates(photos: DataFrame, settings: GroupingSettings, visual: bool = Tru
     if not visual:
         return band
     near = nearest(photos, settings.visual_neighbors).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    return band.unionAll(near).distinct()
+    # The band has all pairs that are close.
+    return band.unionAll(near.filter(F.col("j") - F.col("i") > settings.neighbor_window).distinct())
 
 
 def coverage(photos: DataFrame, settings: GroupingSettings) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,17 +80,18 @@ def run_heads(photos: DataFrame, distance: int, hash_col: str = "near_hash") ->
     marked = photos.select("idx", F.col(hash_col).alias("h")).join(previous, "idx", "left").select("idx", "h", F.when(breaks, 1).otherwise(0).alias("cut"))
     cut = running_sum(marked, "cut", "stretch")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        out, head, run = [], None, None
-        for idx, value in zip(rows["idx"], rows["h"], strict=True):
-            known = not pd.isna(value)
-            if head is None or not known or bin(int(value) ^ head).count("1") > distance:
-                head, run = (int(value) if known else None), idx
-            out.append(run)
-        return pd.DataFrame({"idx": rows["idx"], "run": out})
-
-    return cut.select("idx", "h", "stretch").groupBy("stretch").applyInPandas(fold, "idx long, run long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = head = run = None
+        for batch in batches:
+            out = []
+            for idx, value, stretch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stretch != at or head is None or value is None or ((value ^ head) & (1 << 64) - 1).bit_count() > distance:
+                    at, head, run = stretch, value, idx
+                out.append(run)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["idx", "run"])
+
+    # Tasks get whole stretches in order: one pass over many stretches, not a call for each.
+    return cut.select(F.col("idx").cast("long"), "h", "stretch").repartition("stretch").sortWithinPartitions("stretch", "idx").mapInArrow(fold, "idx long, run long")
 
 
 def duplicate_losers(photos: DataFrame, distance: int, hash_col: str = "near_hash") -> DataFrame:

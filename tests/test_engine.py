@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from capsort import catalogue, command
 from capsort.config import GroupingSettings, QualitySettings, SortRequest
 from capsort.functions import columns as C
 from capsort.functions import texts
-from capsort.operators import graph, quality, raster, simulate, stats
+from capsort.operators import graph, pairs, quality, raster, simulate, stats
 from capsort.plans import sorting
 from capsort.sources import feed, images, pointcloud, staging
 from capsort.streaming import events
@@ -371,3 +372,108 @@ def test_pixels_are_rounded_as_single_precision(spark, tmp_path):
         df = catalogue.QUERIES[name](spark, str(tmp_path))
         found = con.sql(catalogue.ORACLES[name])
         assert sorted(map(tuple, df.select(found.columns).collect())) == sorted(found.fetchall())
+
+
+def plain_bisect(members, edges, most, least):
+    """The rule of bisection as written down: all weights anew for each part, the lightest place in scan order."""
+    if len(members) <= most:
+        return [members]
+    n, margin = len(members), max(1, min(least, len(members) // 4))
+    place = {m: p for p, m in enumerate(members)}
+    weights = [sum(s for i, j, s in edges if place[i] <= p < place[j]) for p in range(n - 1)]
+    middle, best, light = (n - 1) / 2, margin - 1, float("inf")
+    for p in range(margin - 1, n - margin):
+        if weights[p] < light - 1e-9 or (abs(weights[p] - light) <= 1e-9 and abs(p - middle) < abs(best - middle)):
+            best, light = p, weights[p]
+    halves = [members[: best + 1], members[best + 1 :]]
+    return [part for h in halves for part in plain_bisect(h, [e for e in edges if e[0] in set(h) and e[1] in set(h)], most, least)]
+
+
+def plain_absorb(sizes, strength, settings):
+    """The rule of absorption as written down: ties between all groups are added up anew in each round."""
+    groups, gone = {k: [k] for k in range(len(sizes))}, set()
+    total = lambda k: sum(sizes[m] for m in groups[k])
+    while len(groups) > 1 and (small := next((k for k in sorted(groups) if total(k) < settings.min_per_group), None)) is not None:
+        tie = lambda k: sum(s for (a, b), s in strength.items() if (a in groups[k] and b in groups[small]) or (b in groups[k] and a in groups[small]))
+        room = [(tie(k), -k) for k in groups if k != small and total(k) + total(small) <= settings.max_per_group and tie(k) > 0]
+        own = groups.pop(small)
+        if room:
+            groups[-max(room)[1]] += own
+        else:
+            gone |= set(own)
+    return [None if m in gone else next(k for k in groups if m in groups[k]) for m in range(len(sizes))]
+
+
+def test_bisection_and_absorption_follow_the_rules():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n = int(rng.integers(2, 90))
+        members = np.sort(rng.choice(500, n, replace=False)).tolist()
+        pairs_ = {tuple(sorted(map(int, rng.choice(members, 2, replace=False)))) for _ in range(int(rng.integers(0, 5 * n)))}
+        edges = [(i, j, float(rng.choice([0.25, 0.5, rng.random()]))) for i, j in sorted(pairs_)]
+        most, least = int(rng.integers(2, 20)), int(rng.integers(1, 8))
+        assert graph.bisect(members, edges, most, least) == plain_bisect(members, edges, most, least)
+        sizes = rng.integers(1, 9, n).tolist()
+        strength = {(members.index(i), members.index(j)): s for i, j, s in edges}
+        s = GroupingSettings(min_per_group=int(rng.integers(1, 12)), max_per_group=int(rng.integers(8, 25)))
+        assert graph.absorb(sizes, list(range(n)), strength, s) == plain_absorb(sizes, strength, s)
+
+
+def test_uneven_cuts_and_many_small_parts_take_little_time():
+    n = 20_000
+    i = np.repeat(np.arange(n), 30)
+    j = i + np.tile(np.arange(1, 31), n)
+    edges = list(zip(i[j < n].tolist(), j[j < n].tolist(), (0.2 + 0.5 * i[j < n] / n).tolist(), strict=True))
+    began = time.time()
+    parts = graph.bisect(list(range(n)), edges, 150, 20)  # lighter towards the start: every cut takes the least part off
+    assert max(map(len, parts)) <= 150 and sum(parts, []) == list(range(n))
+    ends = graph.absorb([1] * 100_000, list(range(100_000)), {(k, k + 1): 1.0 for k in range(0, 99_999, 2)}, GroupingSettings())
+    assert ends == [None] * 99_998 + [99_999] * 2  # the last group stays
+    assert time.time() - began < 20
+
+
+def test_tables_in_a_loop_keep_no_plan_estimates(spark):
+    df = spark.range(100).withColumnRenamed("id", "a")
+    for _ in range(4):
+        other = df.withColumnRenamed("a", "b")
+        df = graph.checkpointed(df.join(other, F.col("a") == F.col("b")).select("a"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+
+
+def test_components_of_chains_and_blocks(spark):
+    edges = [(k, k + 7, 1.0) for k in range(0, 30_000) if k % 10_007] + [(29_000, 50_000, 0.4), (60_000, 29_999, 1.0)]
+    found = {r.idx: r.root for r in graph.components(spark.range(60_001).withColumnRenamed("id", "idx"), spark.createDataFrame(edges, "i long, j long, score double"), 0.5).collect()}
+    root = list(range(60_001))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, s in edges:
+        if s >= 0.5:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    assert found == {k: top(k) for k in range(60_001)}
+
+
+@pytest.mark.parametrize("block", [1_000_000, 40])
+def test_nearest_hashes_are_those_of_brute_force(spark, monkeypatch, block):
+    for name, value in (("BLOCK", block), ("CHUNK", 16), ("QUERIES", 4), ("ROWS", 50)):
+        monkeypatch.setattr(pairs, name, value)
+    rng = np.random.default_rng(3)
+    few = rng.integers(-(1 << 63), (1 << 63) - 1, 40)
+    rows = [(k, int(few[rng.integers(0, 40)]) if k % 3 else int(rng.integers(-3, 3)) if k % 2 else None) for k in range(150)]
+    got = sorted(map(tuple, pairs.nearest(spark.createDataFrame(rows, "idx long, fingerprint long"), 5).select("i", "j", "distance", "rank").collect()))
+    want = []
+    for i, h in rows:
+        near = sorted((((h ^ g) & (1 << 64) - 1).bit_count(), j) for j, g in rows if j != i and g is not None)[:5] if h is not None else []
+        want += [(i, j, d, r + 1) for r, (d, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_runs_compare_all_64_bits(spark):
+    rows = [(0, -1), (1, -2), (2, (1 << 63) - 1), (3, None), (4, 5), (5, 4), (6, -(1 << 63) + 4)]
+    got = sorted(map(tuple, quality.run_heads(spark.createDataFrame(rows, "idx long, near_hash long"), 4).collect()))
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 4), (6, 4)]
