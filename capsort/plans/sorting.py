@@ -136,6 +136,7 @@ def group_photos(photos: DataFrame, request: SortRequest) -> tuple:
 def sort_photos(photos: DataFrame, request: SortRequest, hash_col: str = "near_hash", unreadable: DataFrame | None = None) -> Sorted:
     """Everything but the sink: lazy tables plus group-level facts. Files of ``unreadable`` (relative_path) are excluded with score 0."""
     request.validate()
+    photos = graph.checkpointed(photos)
     outcome = quality.quality_outcome(photos, request.quality, hash_col)
     if unreadable is not None:
         outcome = outcome.unionByName(unreadable.select("relative_path", F.lit("unreadable").alias("reason"), F.lit(0.0).alias("score")), allowMissingColumns=True)
@@ -144,11 +145,12 @@ def sort_photos(photos: DataFrame, request: SortRequest, hash_col: str = "near_h
 
     kept = graph.checkpointed(capture_order(outcome.filter("reason IS NULL").drop("idx", "reason", "score")))
     edges, groups, threshold, used, seen = group_photos(kept, request)
-    found = [(r.a, r.b, r.confidence) for r in graph.links(groups, edges).collect()]
-    sure = graph.capped(found, request.grouping.max_links_per_group)
+    ranked = graph.checkpointed(graph.link_candidates(groups, edges))
+    sure = graph.capped_of(graph.ranked_links(ranked), request.grouping.max_links_per_group)
     spark = photos.sparkSession
     table = spark.createDataFrame([(a, b) for a, b, _ in sure], "a int, b int")
-    shared = shared_photos(kept, graph.link_candidates(groups, edges).join(F.broadcast(table), ["a", "b"]), request.planner)
+    shared = graph.checkpointed(shared_photos(kept, ranked.join(F.broadcast(table), ["a", "b"]), request.planner))
+    graph.dropped(ranked)
     bars = [r.n for r in histogram(edges, "score", 20, 0.0, 1.0).orderBy("bin").collect()]
     return Sorted(outcome, kept, edges, groups, sure, shared, threshold, used, seen, bars)
 
