@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capsort.llm.common import hand_back
+
 WINDOW = 10
 SHARD = 1_000_000
 #: Text bytes of test items in one broadcast.
@@ -214,6 +216,8 @@ def scan(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
                 types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(match)]
                 columns = [[x[0] for x in out], [x[1].astype(np.int32) for x in out], [x[2] for x in out], [x[3] for x in out]]
                 yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["n_words", "hits", "items", "matches"])
+                del out, columns
+                hand_back()
 
         return F.arrow_udf(run, STATE)(F.col("text"))
 

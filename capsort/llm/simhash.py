@@ -10,8 +10,9 @@ Copies share a fingerprint and are joined once as one vertex: a group of copies
 its size. Components come from min-label propagation with pointer jumping over the distinct
 fingerprints that have a link; each round is a table in the shared folder. Nothing is collected.
 
-``keep_representatives`` works on a similarity of word shingles instead (five words, 0.8 or more), where 15 %
-of the bits differ: no fingerprint tells such pairs exactly. There each distinct set of shingles is one vertex. All
+``keep_representatives`` keeps the pairs among these whose word shingles are similar (five words, 0.8 or more): pairs within
+``bits`` by the same search over fingerprints of such shingles, then an exact check on whole sets. In many pairs that similar 15 %
+of the bits differ, which no fingerprint tells exactly, so an exact search for the others follows. Each distinct set of shingles is one vertex. All
 shingles have one total order; two sets as similar as asked share one of the first shingles of both (prefix
 filter), so an equi-join on these meets every such pair, whatever else the corpus holds. Each pair met is
 verified on its whole sets before components are built. Shingles that a sample shows to be frequent come last in the
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsort.llm.common import cut, drop_tables, perhaps_in
+from capsort.llm.common import cut, drop_tables, hand_back, perhaps_in
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Bit ranges (start, width) of the segments.
@@ -219,7 +220,7 @@ def _differing(x: Column, y: Column) -> Column:
 
 
 def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """doc_id, mark, fp (a hash of the set of shingles), size (of the set), odd (its parities) and keys, its first shingles in the order.
+    """doc_id, mark, fp (a hash of the set of shingles), print (SimHash fingerprint), size (of the set), odd (its parities) and keys, its first shingles in the order.
 
     The order is that of the hashes, with those of ``last`` after all others in the order given. A set that a task has met
     before gets null keys.
@@ -238,20 +239,25 @@ def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in _slices(batches):
-            names, sizes, odd, keys = [], [], [], []
+            names, prints, sizes, odd, keys = [], [], [], [], []
             for t in batch.column(2).to_pylist():
-                own = shingle_set(t, words)
+                hashes = shingle_hashes(t, words)
+                own = np.unique(hashes)
                 name = xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
                 names.append(name)
+                prints.append(majority(hashes))
                 sizes.append(len(own))
                 odd.append(parities(own))
                 keys.append(None if name in met else first(own).view(np.int64))
                 if len(met) < REMEMBERED:
                     met.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "size", "odd", "keys"])
+            bits = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *bits, pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "fp", "print", "size", "odd", "keys"])
+            del names, prints, sizes, odd, keys, bits
+            hand_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long, size int, odd array<long>, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long, print long, size int, odd array<long>, keys array<long>")
 
 
 def whole_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -261,6 +267,8 @@ def whole_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
         for batch in _slices(batches):
             own = pa.array([shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], ["node", "own"])
+            del own
+            hand_back()
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = cut(named.join(nodes, F.col("node") == F.col("fp")).select("node", F.col("head.mark").alias("mark_"), F.col("head.doc_id").alias("id_")))
@@ -304,10 +312,23 @@ def shared_places(prints: DataFrame, similarity: float) -> DataFrame:
     return common.select("fp", size.alias("size"), short.cast("int").alias("short"), F.col("where").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "key")
 
 
-def similar_links(places: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs a < b of fp of ``nodes`` (fp, head, size, odd; fp distinct) with the components of all pairs that are similar.
+def hashed_pairs(nodes: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of fp of ``nodes`` (fp, print) that SimHash ties: those of one fingerprint to the least of them, and these leads by multi-index hashing.
 
-    Of two sets the larger sends its first shingles to those of the smaller, which needs fewer. Shingles of one set
+    Neighbours of a fingerprint are tied to the least of them, so a dense group is linear in its size.
+    """
+    leads = cut(nodes.groupBy("print").agg(F.min("fp").alias("lead")))
+    same = nodes.join(leads.withColumnRenamed("print", "print_"), F.col("print") == F.col("print_")).filter("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    close = cut(thinned(cut(links(leads.select(F.col("print").alias("fp")), bits))))
+    first, second = (leads.select(F.col("print").alias(f"print_{x}"), F.col("lead").alias(f"lead_{x}")) for x in "ab")
+    tied = close.join(first, F.col("a") == F.col("print_a")).join(second, F.col("b") == F.col("print_b")).select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    return same.unionAll(tied)
+
+
+def similar_links(places: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float, bits: int = BITS) -> DataFrame:
+    """Pairs a < b of fp of ``nodes`` (fp, head, print, size, odd; fp distinct) with the components of all pairs that are similar.
+
+    Pairs that SimHash finds and pairs of common shingles are verified alike. Of two sets the larger sends its first shingles to those of the smaller, which needs fewer. Shingles of one set
     go first. Then each set is held against the tip of each of its shingles, the set with the fewest rarer shingles there, which
     of copies is the one with the fewest changes: a dense group becomes few stars, linear in its size. Last, pairs
     of different stars are met: pairs within a star's component would change no component.
@@ -325,7 +346,7 @@ def similar_links(places: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
 
     tips = places.groupBy("key").agg(F.min(F.struct("at", "size", "fp")).alias("tip")).select("key", "tip.*")
     led = side(tips, "a").join(side(places, "b"), (F.col("key_a") == F.col("key_b")) & (F.col("a") != F.col("b")) & fits("a", "b"))
-    tried = cut(_ordered(led))
+    tried = cut(_ordered(hashed_pairs(nodes, bits).unionAll(led.select("a", "b"))))
     stars = verified(tried, nodes, docs, words, similarity)
 
     roots = _rooted(nodes.select("fp"), stars).withColumnRenamed("fp", "fp_")
@@ -344,7 +365,7 @@ def similar_links(places: DataFrame, nodes: DataFrame, docs: DataFrame, words: i
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, mark, fp) and the classes (fp_, head, root) of their sets of shingles."""
     prints = cut(sets(docs, words, similarity, frequent(docs, words)))
-    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("size").alias("size"), F.first("odd").alias("odd")))
+    nodes = cut(prints.groupBy("fp").agg(_head(), F.min("print").alias("print"), F.min("size").alias("size"), F.first("odd").alias("odd")))
     rows = cut(prints.select("doc_id", "mark", "fp"))
     places = cut(shared_places(prints, similarity))
     drop_tables(docs.sparkSession, [prints])
@@ -365,7 +386,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 def keep_representatives(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id, null ids last, ties by the text's hash.
 
-    Groups are the components of all pairs that share ``similarity`` or more of their distinct word shingles.
+    Groups are the components of all pairs that share ``similarity`` or more of their distinct word shingles: those that SimHash and
+    multi-index hashing find, checked on whole sets, and those that only the search over common shingles finds.
 
     The row is told by id and text, so rows of one id (or of none) in different groups are all kept; rows that repeat
     both count as one.

@@ -25,7 +25,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar shingle sets: the one with the smallest id."""
+    """One document of each near-duplicate component, the one with the smallest id: pairs by SimHash and multi-index hashing, checked
+    on their shingle sets, and similar pairs whose fingerprints lie further apart by an exact search."""
     return simhash.keep_representatives(docs)
 
 

@@ -200,6 +200,21 @@ def test_representatives_are_those_of_brute_force(spark):
     assert kept == kept_by_brute_force(texts)
 
 
+def test_representatives_come_by_fingerprints_first(spark, monkeypatch):
+    search = simhash.shared_places
+    monkeypatch.setattr(simhash, "shared_places", lambda *a: search(*a).limit(0))  # what is linked now is linked by SimHash
+    rng = random.Random(9)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join(["start"] + base[1:])]
+    texts += ["", None, "a", "one of few words"]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum((prints[k] ^ prints[k + 1]).bit_count() <= 4 for k in range(0, 15, 3)) == 5
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {0, 3, 6, 9, 12, 15, 17, 18}
+
+
 def test_unrelated_rows_change_no_decision(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SAMPLED", 30)
     texts = texts_near_the_limit()
