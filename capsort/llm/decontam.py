@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsort.llm.common import hand_back
+from capsort.llm.common import hand_back, lean
 
 WINDOW = 10
-SHARD = 1_000_000
+SHARD = 250_000
 #: Text bytes of test items in one broadcast.
 BLOCK = 16_000_000
 DEPTH = 4
@@ -72,7 +72,9 @@ class Hasher:
         blank = raw == 32
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         starts, ends = edge[::2], edge[1::2]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw[1:-1] * self.power[: len(data)], dtype=np.uint64)))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(raw[1:-1], self.power[: len(data)], out=total[1:])
+        np.cumsum(total, out=total)
         h = (total[ends] - total[starts]) * self.inverse[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
@@ -219,7 +221,7 @@ def scan(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
                 del out, columns
                 hand_back()
 
-        return F.arrow_udf(run, STATE)(F.col("text"))
+        return F.arrow_udf(lean(run), STATE)(F.col("text"))
 
     found = rows.withColumns({f"__capsort_hits{k}": column(k) for k in range(blocks)})
     names = [F.col(f"__capsort_hits{k}") for k in range(blocks)]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsort.llm.common import bounded_sample, crc_mod, hand_back
+from capsort.llm.common import bounded_sample, crc_mod, hand_back, lean
 
 DIM = 8192
 LANDMARKS = 160
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", prob: str = "
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(odds) if odds else [], pa.float64())], ["lang", "p"])
             hand_back()
 
-    udf = F.arrow_udf(run, "lang string, p double")
+    udf = F.arrow_udf(lean(run), "lang string, p double")
     return docs.withColumn("__capsort_lang", udf(F.col("text"))).withColumns({lang: F.col("__capsort_lang.lang"), prob: F.col("__capsort_lang.p")}).drop("__capsort_lang")
 
 

@@ -90,7 +90,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     counts = np.zeros(shards * VNODES, np.int64)
     for r in rows.select(node(F.col("place")).alias("node")).groupBy("node").count().collect():  # one row a node
         counts[r[0]] = r[1]
-    stretches = spark.createDataFrame(walk(counts, ring(shards)[1], shards) or [(-1, 0, 0, 0, 0)], "node_ int, low long, high long, shard int, base long")
+    kinds = {"node_": pa.int32(), "low": pa.int64(), "high": pa.int64(), "shard": pa.int32(), "base": pa.int64()}
+    found = zip(*(walk(counts, ring(shards)[1], shards) or [(-1, 0, 0, 0, 0)]), strict=True)
+    # From an Arrow table: rows of Python's would start workers of another kind, which stay beside the others.
+    stretches = spark.createDataFrame(pa.table([pa.array(x, k) for x, k in zip(found, kinds.values(), strict=True)], list(kinds)))
     distinct = rows.groupBy("doc_id", "size", "text_crc32", "place").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("node").orderBy("place", "doc_id", "text_crc32", "size")
     ranked = distinct.withColumn("node", node(F.col("place"))).withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))

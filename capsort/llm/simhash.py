@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsort.llm.common import cut, drop_tables, hand_back, perhaps_in
+from capsort.llm.common import cut, drop_tables, hand_back, lean, perhaps_in
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Bit ranges (start, width) of the segments.
@@ -195,7 +195,7 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["key"])
 
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count()
+    counts = sample.mapInArrow(lean(run), "key long").groupBy("key").count()
     least = max(3, int(FREQUENT * SAMPLED))
     rows = counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).collect()
     return np.array([r.key for r in reversed(rows)], np.int64).view(np.uint64)
@@ -257,7 +257,7 @@ def sets(docs: DataFrame, words: int, similarity: float, last: np.ndarray) -> Da
             hand_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long, print long, size int, odd array<long>, keys array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, mark long, fp long, print long, size int, odd array<long>, keys array<long>")
 
 
 def whole_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -274,8 +274,11 @@ def whole_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     wanted = cut(named.join(nodes, F.col("node") == F.col("fp")).select("node", F.col("head.mark").alias("mark_"), F.col("head.doc_id").alias("id_")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     hit = perhaps_in(wanted, "mark_")
-    texts = (rows.filter(hit("mark")) if hit else rows).join(wanted, (F.col("mark") == F.col("mark_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text")
-    return texts.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+    # A table of its own: the bitmap's test and the sets in one task would need two workers a core.
+    texts = cut((rows.filter(hit("mark")) if hit else rows).join(wanted, (F.col("mark") == F.col("mark_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text"))
+    own = cut(texts.mapInArrow(lean(run), "node long, own array<long>").dropDuplicates(["node"]))
+    drop_tables(docs.sparkSession, [wanted, texts])
+    return own
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -288,7 +291,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
     most = (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
     left = pairs.join(first, F.col("a") == F.col("fp_a")).select("a", "b", "size_a", "odd_a")
     close = cut(left.join(second, (F.col("b") == F.col("fp_b")) & (_differing(F.col("odd_a"), F.col("odd_b")) <= most)).select("a", "b"))
-    own = cut(whole_sets(close, nodes, docs, words))
+    own = whole_sets(close, nodes, docs, words)
     left, right = (own.select(F.col("node").alias(f"node_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")
     common = F.size(F.array_intersect("own_a", "own_b"))
     alike = common / (F.size("own_a") + F.size("own_b") - common) >= F.lit(similarity)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -642,3 +643,31 @@ def test_suffix_dedup_of_a_hot_text(spark, monkeypatch):
     assert all((got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (501, 1, empty) for k in range(1100))
     assert all((got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (0, 0, hashlib.sha256(short.encode()).hexdigest()) for k in range(2000, 3101))
     assert (got[5000].n_removed, got[5000].n_spans, got[5000].kept_sha256) == (501, 1, hashlib.sha256(b"head  tail").hexdigest()) and got[5001].n_removed == 0
+
+
+def test_tasks_start_one_worker_a_core(spark):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    docs = spark.createDataFrame([(k, f"alpha beta gamma delta word{k} epsilon") for k in range(40)], "doc_id long, text string")
+    nodes = simhash.sets(docs, 5, 0.8, np.zeros(0, np.uint64)).groupBy("fp").agg(simhash._head())
+    pair = nodes.select("fp").orderBy("fp").limit(2).collect()
+    own = simhash.whole_sets(spark.createDataFrame([(pair[0].fp, pair[1].fp)], "a long, b long"), nodes, docs, 5)
+    assert "Python" not in plan(own) and own.count() == 2 and all(len(r.own) == 2 for r in own.collect())
+    # Rows made from Python's would start workers of another kind beside those of Arrow.
+    assert "ExistingRDD" not in plan(sharding.shard(docs))
+
+
+def test_shards_bound_what_a_worker_holds():
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [decontam.normal(" ".join(rng.choices(words, k=400))) for _ in range(700)]
+    tests = decontam.test_suffixes([(1, texts[3].decode()), (2, "none of these")])
+    shard, size = [], 0
+    for t in texts:
+        if size < decontam.SHARD:
+            shard.append(t)
+            size += len(t)
+    tracemalloc.start()
+    found = decontam.search(shard, tests, decontam.Hasher())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for k, x in enumerate(found) if len(x[1])] == [3] and peak < 20_000_000
